@@ -6,17 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import components
+from echofold.llm import components, survivors
 from echofold.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.found_entries(table(spark, d, "envelope_groups"))
+
+
+def p2_current_values(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.current_values(table(spark, d, "envelope_groups"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.consolidate(table(spark, d, "scored_pairs"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found}
+    return {f.__name__: f for f in (p2_found, p2_current_values, p5_found)}
+
+
+P2 = """
+WITH m AS (
+  SELECT g.group_id, f.path AS path, coalesce(f.is_reference, false) AS ref,
+    CASE WHEN f.file_size > 0 THEN f.file_size END AS file_size, CASE WHEN f.bitrate > 0 THEN f.bitrate END AS bitrate,
+    CASE WHEN f.mtime > 0 AND NOT isnan(f.mtime) AND NOT coalesce(f.mtime > epoch(TRY_CAST(g.generated_at AS TIMESTAMPTZ)), false) THEN f.mtime END AS mtime
+  FROM (SELECT group_id, generated_at, unnest(files) AS f FROM envelope_groups) g WHERE f.path IS NOT NULL),
+r AS (SELECT *, (file_size IS NOT NULL)::int + (bitrate IS NOT NULL)::int + (mtime IS NOT NULL)::int AS n FROM m),
+e AS (
+  SELECT group_id, 'record' AS field_name, path, ref, n, mtime, file_size FROM r
+  UNION ALL SELECT group_id, 'file_size', path, ref, n, mtime, file_size FROM r WHERE file_size IS NOT NULL
+  UNION ALL SELECT group_id, 'bitrate', path, ref, n, mtime, file_size FROM r WHERE bitrate IS NOT NULL
+  UNION ALL SELECT group_id, 'mtime', path, ref, n, mtime, file_size FROM r WHERE mtime IS NOT NULL)
+SELECT group_id, field_name, path FROM (
+  SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY ref DESC, n DESC, mtime DESC NULLS LAST, file_size DESC NULLS LAST, path) AS k FROM e) WHERE k = 1
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2}
