@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import components, survivors
+from echofold.llm import components, leakage, survivors
 from echofold.session import table
 
 
@@ -22,8 +22,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.consolidate(table(spark, d, "scored_pairs"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_current_values, p5_found)}
+    return {f.__name__: f for f in (p2_found, p2_current_values, p5_found, p7_found)}
 
 
 P2 = """
