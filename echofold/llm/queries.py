@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import components, leakage, survivors
+from echofold.llm import components, leakage, quality, survivors
 from echofold.session import table
 
 
@@ -26,8 +26,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.unnatural(table(spark, d, "documents"))
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.document_statistics(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_current_values, p5_found, p7_found)}
+    return {f.__name__: f for f in (p2_found, p2_current_values, p5_found, p7_found, p8_found, p8_statistics)}
 
 
 P2 = """
