@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import components, leakage, quality, survivors
+from echofold.llm import components, leakage, neighbours, quality, survivors
 from echofold.session import table
 
 
@@ -18,6 +18,10 @@ def p2_current_values(spark: SparkSession, d: str) -> DataFrame:
     return survivors.current_values(table(spark, d, "envelope_groups"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.found_pairs(table(spark, d, "clip_embeddings"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.consolidate(table(spark, d, "scored_pairs"))
 
@@ -35,7 +39,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_current_values, p5_found, p7_found, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p2_found, p2_current_values, p3_found, p5_found, p7_found, p8_found, p8_statistics)}
 
 
 P2 = """
