@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import components, leakage, neighbours, quality, survivors
+from echofold.llm import arrivals, components, leakage, neighbours, quality, survivors
 from echofold.session import table
 
 
@@ -22,6 +22,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.found_pairs(table(spark, d, "clip_embeddings"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return arrivals.found(*(table(spark, d, t) for t in ("content_hashes", "audio_fingerprints", "scored_pairs")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.consolidate(table(spark, d, "scored_pairs"))
 
@@ -39,7 +43,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_current_values, p3_found, p5_found, p7_found, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p2_found, p2_current_values, p3_found, p4_found, p5_found, p7_found, p8_found, p8_statistics)}
 
 
 P2 = """
