@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import arrivals, components, leakage, neighbours, quality, survivors
+from echofold.llm import arrivals, components, leakage, neighbours, quality, spellings, survivors
 from echofold.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return spellings.found_pairs(table(spark, d, "files"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.found_entries(table(spark, d, "envelope_groups"))
 
@@ -43,7 +47,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_current_values, p3_found, p4_found, p5_found, p7_found, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_current_values, p3_found, p4_found, p5_found, p7_found, p8_found, p8_statistics)}
 
 
 P2 = """
