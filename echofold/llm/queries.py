@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import arrivals, components, leakage, neighbours, quality, spellings, survivors
+from echofold.llm import arrivals, components, leakage, neighbours, packing, quality, spellings, survivors
 from echofold.session import table
 
 
@@ -34,6 +34,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.consolidate(table(spark, d, "scored_pairs"))
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, d, "documents")), 2048)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -47,7 +51,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_current_values, p3_found, p4_found, p5_found, p7_found, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_current_values, p3_found, p4_found, p5_found, p6_packed, p7_found, p8_found, p8_statistics)}
 
 
 P2 = """
