@@ -1,12 +1,13 @@
 """Deduplicating new batches against all history.
 
-Bit signatures (perceptual hashes, audio fingerprints) are cut into units of 256 bits; of each unit, bands of minwise
-keys are kept: a key is the values of a few bit positions drawn by hashing. Rows that agree in a key meet in a bucket,
-a 32-bit sketch throws out chance meetings, the rest is verified exactly. Keys can be persisted partitioned by hash
-(KeyStore), so that a later batch reads only the buckets it falls in.
+Bit signatures (perceptual hashes, audio fingerprints) are cut into units of 256 bits. Minwise band keys, the values of
+a few bit positions drawn by hashing, partition the units into buckets of bounded size; a unit goes to one bucket for
+each band, together with its signature. Within a bucket finer band keys find the units that may be alike, which are
+compared bit by bit, and what that leaves open is verified on the whole arrays. Buckets can be persisted partitioned by
+their key (BucketStore), so that a later batch reads only the buckets it falls in.
 
 Equal contents are settled before any key is made, and rows like the first row of a crowded bucket before the buckets
-are opened, so that copies of one thing never meet all pairs.
+are opened, so that copies of one thing never meet all pairs. A bucket beyond its size is cut into blocks.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echofold.session import cut
@@ -46,17 +47,19 @@ def band_bits(bands: int, bits: int, seed: int = 20_24) -> np.ndarray:
     return np.stack([np.random.default_rng([seed, b]).choice(UNIT, bits, replace=False) for b in range(bands)])
 
 
-#: The positions of the sketch, and the most differing bits that pass: two units of similarity 0.8 differ in 6.4 of 32 on average (deviation 2.3), unrelated ones in 16 (2.8).
-SKETCH, SKETCH_MOST = np.random.default_rng([20_24, 99_999]).choice(UNIT, 32, replace=False), 12
+#: Units a bucket (or a block of a crowded one) is meant to hold.
+BUCKET_UNITS = 30_000
 
 
-def key_bits(units: int) -> int:
-    """Bits of a key: the buckets of unrelated units stay a few units large at any number of units."""
-    return min(28, max(12, math.ceil(math.log2(max(units, 2))) - 1))
+def key_bits(units: int, each: int = BUCKET_UNITS) -> int:
+    """Bits of a key so that the buckets of unrelated units hold about `each` at any number of units."""
+    return min(24, max(0, math.ceil(math.log2(max(units, 1) / each))))
 
 
-def bands_for(bits: int, tries: float, similarity: float = 0.84, recall: float = 0.985) -> int:
+def bands_for(bits: int, tries: float, similarity: float = 0.84, recall: float = 0.95) -> int:
     """Bands so that a pair of this similarity, met by `tries` units, shares a key with probability `recall`."""
+    if not bits:
+        return 1
     p = similarity**bits
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p) / tries))
 
@@ -93,14 +96,20 @@ def similarity(a: np.ndarray, b: np.ndarray, shape: Shape, rotated: bool = False
     return 1 - min(int(np.trace(d, offset=o)) for o in range(m - k + 1)) / (total * k)
 
 
-def keys_of(rows: DataFrame, shape: Shape, bits: int, bands: tuple[int, int, int]) -> DataFrame:
-    """(key long, id long, at int): the band keys of rows (id, v array<long>, rotated boolean).
+#: Bits of `flags` of a unit: its row holds orientations; it is the row's first; it is the row's only one.
+ROTATED, FIRST, ONLY = 1, 2, 4
 
-    key holds 32 hashed bits of the band and its bit values above the 32-bit sketch. bands: of a row's first unit, of the other units
-    of a rotated row, of the other units of any other row.
+
+def _values(bits: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    return bits[:, positions].astype(np.float64) @ (2.0 ** np.arange(len(positions))) if len(positions) else np.zeros(len(bits))
+
+
+def units_of(rows: DataFrame, shape: Shape, bits: int, bands: tuple[int, int, int], signature: bool = True) -> DataFrame:
+    """(bucket long, id long, flags int, unit binary): the units of rows (id, v array<long>, rotated boolean), once for each of their bands.
+
+    bands: of a row's first unit, of the other units of a rotated row, of the other units of any other row.
     """
     positions = band_bits(max(bands), bits)
-    weights = (1 << np.arange(bits, dtype=np.int64)).astype(np.float64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,22 +120,79 @@ def keys_of(rows: DataFrame, shape: Shape, bits: int, bands: tuple[int, int, int
                 if not n.sum():
                     continue
                 m = np.concatenate(units)
-                ids = np.repeat(part["id"].to_numpy(), n)
+                ids, rotated = np.repeat(part["id"].to_numpy(), n), np.repeat(part["rotated"].to_numpy(bool), n)
                 place = np.concatenate([np.arange(k) for k in n])
-                most = np.where(place == 0, bands[0], np.where(np.repeat(part["rotated"].to_numpy(bool), n), bands[1], bands[2]))
-                sketch = (m[:, SKETCH].astype(np.float64) @ (2.0 ** np.arange(32))).astype(np.uint64)
+                flags = rotated * ROTATED + (place == 0) * FIRST + (np.repeat(n, n) == 1) * ONLY
+                most = np.where(place == 0, bands[0], np.where(rotated, bands[1], bands[2]))
+                packed = np.packbits(m, axis=1)
                 for b in range(max(bands)):
                     use = np.flatnonzero(most > b)
-                    if len(use):
-                        value = (m[use][:, positions[b]].astype(np.float64) @ weights).astype(np.uint64)
-                        h = (value + np.uint64(b + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-                        key = ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
-                        yield pd.DataFrame({"key": ((key << np.uint64(32)) | sketch[use]).view(np.int64), "id": ids[use]})
-
-    return rows.mapInPandas(run, "key long, id long")
-
-
-BUCKET, DRAFT = "shiftright(key, 32)", "cast(key & 4294967295L as long)"
+                    out = pd.DataFrame({"bucket": (b << bits) + _values(m[use], positions[b]).astype(np.int64), "id": ids[use], "flags": flags[use].astype(np.int32)})
+                    if signature:
+                        out["unit"] = [r.tobytes() for r in packed[use]]
+                    yield out
+
+    return rows.mapInPandas(run, "bucket long, id long, flags int" + ", unit binary" * signature)
+
+
+def _meet(probes: pd.DataFrame, known: pd.DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of probes, row of known) of units with at most `most` differing bits and a smaller id on the known side."""
+    p, x = (np.frombuffer(b"".join(d["unit"]), np.uint8).reshape(-1, UNIT // 8) for d in (probes, known))
+    pb, xb = np.unpackbits(p, axis=1), np.unpackbits(x, axis=1)
+    pw, xw = np.ascontiguousarray(p).view(np.uint64), np.ascontiguousarray(x).view(np.uint64)
+    pid, xid = probes["id"].to_numpy(), known["id"].to_numpy()
+    bits = max(8, math.ceil(math.log2(max(len(x), 1))) - 3)
+    left, right = [], []
+    for positions in band_bits(bands_for(bits, 1.0, recall=0.97), bits, seed=77):
+        xk, pk = _values(xb, positions), _values(pb, positions)
+        order = np.argsort(xk, kind="stable")
+        lo, hi = np.searchsorted(xk[order], pk), np.searchsorted(xk[order], pk, "right")
+        for at in range(0, len(pk), 2048):  # bounds the pairs held at once
+            n = hi[at : at + 2048] - lo[at : at + 2048]
+            i = np.repeat(np.arange(at, at + len(n)), n)
+            j = order[np.repeat(lo[at : at + 2048] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            ok = xid[j] < pid[i]
+            i, j = i[ok], j[ok]
+            near = np.bitwise_count(pw[i] ^ xw[j]).sum(1, dtype=np.int64) <= most
+            left.append(i[near])
+            right.append(j[near])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def met_in_buckets(rows: DataFrame, probes: DataFrame, shape: Shape, bits: int, bands: tuple[int, int, int], least: float) -> DataFrame:
+    """(id, other): of `probes` (id), the rows of `rows` with a smaller id and a unit alike; other is null where the units alone prove the rows alike."""
+    if shape.word == 64:
+        most = math.floor((1 - least) * UNIT + 1e-9)
+    else:
+        most = math.floor((1 - least + 0.02) * UNIT)  # the best window of a pair can be a little below its mean
+    # buckets beyond twice their size, of which there can't be more than units * bands / BUCKET_UNITS / 2
+    crowded = {r["bucket"]: -(-r["count"] // BUCKET_UNITS) for r in units_of(rows, shape, bits, bands, False).groupBy("bucket").count().where(F.col("count") > 2 * BUCKET_UNITS).collect()}
+    blocks = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("long") for kv in crowded.items() for x in kv]), F.col("bucket")), F.lit(1)) if crowded else F.lit(1).cast("long")
+    block = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id"), blocks)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    known = units_of(rows, shape, bits, bands)
+    asking = units_of(rows.join(probes, "id", "left_semi"), shape, bits, bands)
+    left = asking.select("bucket", block(1).alias("p"), every.alias("k"), "id", "flags", "unit")
+    right = known.select(F.col("bucket").alias("b2"), every.alias("p2"), block(2).alias("k2"), "id", "flags", "unit")
+
+    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="Int64")})
+        if not len(a) or not len(b):
+            return empty
+        i, j = _meet(a, b, most)
+        fa, fb, ids, others = a["flags"].to_numpy()[i], b["flags"].to_numpy()[j], a["id"].to_numpy()[i], b["id"].to_numpy()[j]
+        if shape.word == 64:
+            turned, first, only = (fa | fb) & ROTATED > 0, (fa | fb) & FIRST > 0, (fa | fb) & ONLY > 0
+            proven, possible = np.where(turned, first, only), ~turned & ~only
+        else:
+            proven, possible = np.zeros(len(i), bool), np.ones(len(i), bool)
+        sure = np.unique(ids[proven])
+        possible &= ~np.isin(ids, sure)
+        out = pd.DataFrame({"id": np.concatenate([sure, ids[possible]]), "other": pd.array(np.concatenate([np.zeros(len(sure), np.int64), others[possible]]), dtype="Int64")})
+        out.loc[: len(sure) - 1, "other"] = pd.NA
+        return out.drop_duplicates() if len(out) else empty
+
+    return left.groupBy("bucket", "p", "k").cogroup(right.groupBy("b2", "p2", "k2")).applyInPandas(match, "id long, other long")
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, shape: Shape, least: float) -> DataFrame:
@@ -142,10 +208,6 @@ def _verify(pairs: DataFrame, rows: DataFrame, shape: Shape, least: float) -> Da
     return pairs.join(left, "id").join(right, "other").select("id", "v", "rotated", "other", "w", "r2").mapInPandas(run, "id long, other long")
 
 
-def _alike(distance: int) -> Column:
-    return F.bit_count(F.expr("(a.key ^ b.key) & 4294967295L")) <= distance
-
-
 def repeats(rows: DataFrame, values: str, shape: Shape, least: float = 0.8, crowd: int = 64) -> DataFrame:
     """(id long): the entry_id of each row with batch_no >= 1 that repeats a row of smaller entry_id.
 
@@ -169,24 +231,18 @@ def repeats(rows: DataFrame, values: str, shape: Shape, least: float = 0.8, crow
     if not n:
         return copies
     bits = key_bits(int(n))
-    if shape.word == 64:
-        most = bands_for(bits, 1.0)
-        bands = (most, -(-most // 2), -(-most * 3 // 8))
-    else:
-        most = bands_for(bits, max(1.0, 0.8 * mean))
-        bands = (most, most, most)
-    keys = keys_of(firsts.select("id", "v", "rotated"), shape, bits, bands)
+    most = bands_for(bits, 1.0 if shape.word == 64 else max(1.0, 0.25 * mean), recall=0.97)
+    bands = (most, -(-most * 2 // 3), -(-most // 2)) if shape.word == 64 else (most, most, most)
     base = firsts.select("id", "v", "rotated")
     fresh = firsts.where("new").select("id")
-    # crowded buckets of a few bands: rows like a bucket's first row are settled at once
-    few = keys_of(firsts.select("id", "v", "rotated"), shape, bits, (min(4, most), 0, 0))
-    crowded = few.groupBy(F.expr(BUCKET).alias("bucket")).agg(F.min("id").alias("other"), F.count("*").alias("n")).where(F.col("n") >= crowd)
-    to_first = few.select(F.expr(BUCKET).alias("bucket"), "id").join(crowded, "bucket").where("id > other").select("id", "other").distinct()
+    # crowded buckets of fine keys of the rows' first units: rows like such a bucket's first row are settled at once
+    few = units_of(base, shape, 20, (2, 0, 0), False).select("bucket", "id")
+    crowded = few.groupBy("bucket").agg(F.min("id").alias("other"), F.count("*").alias("n")).where(F.col("n") >= crowd).drop("n")
+    to_first = few.join(crowded, "bucket").where("id > other").select("id", "other").distinct()
     settled = cut(_verify(to_first.join(fresh, "id", "left_semi"), base, shape, least).select("id").distinct())
-    probes = keys.join(fresh.join(settled, "id", "left_anti"), "id", "left_semi")
-    a, b = probes.withColumn("bucket", F.expr(BUCKET)).alias("a"), keys.withColumn("bucket", F.expr(BUCKET)).alias("b")
-    met = a.join(b, F.expr("a.bucket = b.bucket and a.id > b.id") & _alike(SKETCH_MOST)).select(F.col("a.id"), F.col("b.id").alias("other")).distinct()
-    near = _verify(met, base, shape, least).select("id").distinct()
+    met = met_in_buckets(base, fresh.join(settled, "id", "left_anti"), shape, bits, bands, least).distinct().persist(StorageLevel.DISK_ONLY)
+    proven = met.where("other is null").select("id").distinct()
+    near = proven.unionByName(_verify(met.where("other is not null").join(proven, "id", "left_anti"), base, shape, least).select("id"))
     return copies.unionByName(settled).unionByName(near).distinct()
 
 
