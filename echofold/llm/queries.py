@@ -71,5 +71,13 @@ SELECT group_id, field_name, path FROM (
 """
 
 
+P5 = """
+WITH RECURSIVE l AS (SELECT DISTINCT path_a AS x, path_b AS y FROM scored_pairs WHERE score >= 70 AND NOT isnan(score) AND path_a <> path_b),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+reach(x, y) AS (SELECT x, x FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x)
+SELECT x AS path, min(y) AS group_path FROM reach GROUP BY x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2}
+    return {"p2_found": P2, "p5_found": P5}
