@@ -10,21 +10,18 @@ def simhash64(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, simhash long): the 64-bit SimHash of each row's word pairs; null for texts of fewer than two words.
 
     Words are split at blanks, pairs hashed by the first 8 bytes of their MD5 (big-endian), a bit is set where more
-    pairs have it than not. The pairs of a row are hashed within the row, and only 64 sums a row leave it: no shuffle.
+    pairs have it than not. A row's pairs are summed up in the task that made them, so one row of 64 sums is shuffled.
     """
     words = F.filter(F.split(F.col(text), r"(?U)\s+"), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(" ", F.element_at("_w", i), F.element_at("_w", i + 1)))
-    halves = lambda p: F.conv(F.substring(F.md5(p), 1, 16), 16, -10).cast("long")
-    hashed = df.select(key, words.alias("_w")).select(key, F.when(F.size("_w") >= 2, F.transform(pairs, halves)).alias("_h"))
-
-    def bit(b: int) -> Column:
-        votes = F.aggregate("_h", F.lit(0), lambda n, h: n + (F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)).cast("int") * 2 - 1))
-        return F.when(votes > 0, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long"))
-
-    value = bit(0)
-    for b in range(1, 64):
-        value = value.bitwiseOR(bit(b))
-    return hashed.select(key, F.when(F.col("_h").isNotNull(), value).alias("simhash"))
+    rows = df.select(key, words.alias("_w")).withColumn("_row", F.monotonically_increasing_id())
+    pairs = F.when(F.size("_w") >= 2, F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(" ", F.element_at("_w", i), F.element_at("_w", i + 1))))
+    hashed = rows.select("_row", key, F.explode_outer(pairs).alias("_g")).select("_row", key, F.conv(F.substring(F.md5("_g"), 1, 16), 16, -10).cast("long").alias("_h"))
+    votes = hashed.groupBy("_row", key).agg(*[F.sum((F.shiftrightunsigned("_h", b).bitwiseAND(F.lit(1)) * 2 - 1).cast("int")).alias(f"_{b}") for b in range(64)])
+    value = None
+    for b in range(64):
+        bit = F.when(F.col(f"_{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long"))
+        value = bit if value is None else value.bitwiseOR(bit)
+    return votes.select(key, F.when(F.col("_0").isNotNull(), value).alias("simhash"))
 
 
 def simhash_similarity(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from echofold.functions import names
 from echofold.operators import blocking, comparators
+from echofold.session import default_parallelism
 
 # Default weights by profile.
 WEIGHTS = {
@@ -81,26 +82,34 @@ def bucket_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub"))
 def similar_names(files: DataFrame, least: float = 0.8) -> DataFrame:
     """(path_a, path_b): pairs whose sorted words are alike by `least`, from all files (path, name); names that exclude each other are left out.
 
-    Equal names are compared once. Two strings of lengths m <= n with at most (1 - least)(m + n) insertions and
-    deletions share enough padded pairs of letters that their prefixes, rarest pairs first, have one in common; so the
-    join on prefixes loses nothing.
+    Equal names are compared once. Where a string of length n becomes one of length m <= n by at most
+    d = (1 - least)(m + n) insertions and deletions, at least n + 1 - (3 d + n - m) / 2 of its padded pairs of letters
+    stay; so the prefixes of both, rarest pairs first, that leave fewer behind have a pair in common, and the join on
+    prefixes loses nothing.
     """
-    own = files.select("path", names.sorted_tokens(F.col("name")).alias("words"), "name").where("words <> ''")
-    distinct = own.select("words").distinct().withColumn("n", F.length("words"))
+    own = files.select("path", "name", names.sorted_tokens(F.col("name")).alias("words")).where("words <> ''")
+    distinct = own.select("name", "words").distinct().withColumn("n", F.length("words"))
     padded = F.concat(F.lit("\x01"), "words", F.lit("\x02"))
-    grams = distinct.select("words", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda k: F.substring(padded, k, F.lit(2)))).alias("at", "g"))
-    numbered = grams.groupBy("words", "n", "g").agg(F.count("*").alias("k")).select("words", "n", F.explode(F.transform(F.sequence(F.lit(1), "k"), lambda i: F.concat(F.col("g"), i.cast("string")))).alias("g"))
+    grams = distinct.select("name", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda k: F.substring(padded, k, F.lit(2)))).alias("g"))
+    numbered = grams.groupBy("name", "n", "g").agg(F.count("*").alias("k")).select("name", "n", F.explode(F.transform(F.sequence(F.lit(1), "k"), lambda i: F.concat(F.col("g"), i.cast("string")))).alias("g"))
     df = numbered.groupBy("g").agg(F.count("*").alias("df"))
-    ordered = numbered.join(df, "g").groupBy("words", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    # at least n + 1 - 2 d pairs in common, d edits: a prefix of 2 d + 1 pairs can't miss them all
-    keep = F.least(F.size("gs"), (F.floor((1 - least) * 2 * F.col("n") / (least) + 1e-9) * 2 + 1).cast("int"))
-    prefix = ordered.select("words", "n", F.explode(F.slice("gs", 1, keep)).alias("e")).select("words", "n", "e.g")
+    ordered = numbered.join(df, "g").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    # the longest prefix either side needs over all lengths of the other, of which the shorter is at least least / (2 - least) of the longer
+    q = least / (2 - least)
+    longer = (3 * (1 - least) * (1 + q) + 1 - q) / 2
+    equal = 3 * (1 - least)
+    keep = F.least(F.size("gs"), (F.floor(F.col("n") * max(longer, equal) + 1e-9) + 1).cast("int"))
+    told = [names.is_numeric_id(F.col("name")).alias("id"), names.digits(F.col("name")).alias("digits"), names.skeleton(F.col("name")).alias("text")]
+    prefix = ordered.select("name", "n", *told, F.explode(F.slice("gs", 1, keep)).alias("e")).select("name", "n", "id", "digits", "text", "e.g")
     a, b = prefix.alias("a"), prefix.alias("b")
-    met = a.join(b, F.expr("a.g = b.g and a.words < b.words") & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (least / (2 - least)) - 1e-9)).select(F.col("a.words").alias("x"), F.col("b.words").alias("y")).distinct()
-    near = met.withColumn("r", names.ratio(F.col("x"), F.col("y"))).where(F.col("r") >= least).select("x", "y")
-    near = near.unionByName(distinct.select(F.col("words").alias("x"), F.col("words").alias("y")))
-    left, right = own.select(F.col("path").alias("p"), F.col("name").alias("u"), F.col("words").alias("x")), own.select(F.col("path").alias("q"), F.col("name").alias("v"), F.col("words").alias("y"))
-    pairs = near.join(left, "x").join(right, "y").where("p <> q and (x <> y or p < q)").select("p", "q", F.struct(F.col("u").alias("name")).alias("a"), F.struct(F.col("v").alias("name")).alias("b"))
+    possible = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * q - 1e-9) & ~F.expr("a.id and b.id and a.digits <> b.digits") & ~F.expr("a.text <> '' and a.text = b.text and a.digits <> b.digits")
+    met = a.join(b, F.expr("a.g = b.g and a.name < b.name") & possible).select(F.col("a.name").alias("x"), F.col("b.name").alias("y"))
+    met = met.repartition(default_parallelism(files.sparkSession), "x", "y").distinct()  # a fixed number: many short rows with costly work must not be coalesced
+    sorted_words = lambda c: names.sorted_tokens(F.col(c))
+    near = met.withColumn("r", names.ratio(sorted_words("x"), sorted_words("y"))).where(F.col("r") >= least).select("x", "y")
+    near = near.unionByName(distinct.select(F.col("name").alias("x"), F.col("name").alias("y")))
+    left, right = own.select(F.col("path").alias("p"), F.col("name").alias("x")), own.select(F.col("path").alias("q"), F.col("name").alias("y"))
+    pairs = near.join(left, "x").join(right, "y").where("p <> q and (x <> y or p < q)").select("p", "q", F.struct(F.col("x").alias("name")).alias("a"), F.struct(F.col("y").alias("name")).alias("b"))
     return pairs.where(~comparators.filename_exclusion()).select(F.least("p", "q").alias("path_a"), F.greatest("p", "q").alias("path_b")).distinct()
 
 
