@@ -104,9 +104,9 @@ def similar_names(files: DataFrame, least: float = 0.8) -> DataFrame:
     a, b = prefix.alias("a"), prefix.alias("b")
     possible = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * q - 1e-9) & ~F.expr("a.id and b.id and a.digits <> b.digits") & ~F.expr("a.text <> '' and a.text = b.text and a.digits <> b.digits")
     met = a.join(b, F.expr("a.g = b.g and a.name < b.name") & possible).select(F.col("a.name").alias("x"), F.col("b.name").alias("y"))
-    met = met.repartition(default_parallelism(files.sparkSession), "x", "y").distinct()  # a fixed number: many short rows with costly work must not be coalesced
+    met = met.repartition(default_parallelism(files.sparkSession), "x", "y").distinct()  # a fixed number: many short rows with costly work must not be coalesced, and the ratio must not move below the distinct
     sorted_words = lambda c: names.sorted_tokens(F.col(c))
-    near = met.withColumn("r", names.ratio(sorted_words("x"), sorted_words("y"))).where(F.col("r") >= least).select("x", "y")
+    near = met.withColumn("r", names.ratio.asNondeterministic()(sorted_words("x"), sorted_words("y"))).where(F.col("r") >= least).select("x", "y")
     near = near.unionByName(distinct.select(F.col("name").alias("x"), F.col("name").alias("y")))
     left, right = own.select(F.col("path").alias("p"), F.col("name").alias("x")), own.select(F.col("path").alias("q"), F.col("name").alias("y"))
     pairs = near.join(left, "x").join(right, "y").where("p <> q and (x <> y or p < q)").select("p", "q", F.struct(F.col("x").alias("name")).alias("a"), F.struct(F.col("y").alias("name")).alias("b"))
