@@ -4,7 +4,7 @@ Bit signatures (perceptual hashes, audio fingerprints) are cut into units of 256
 a few bit positions drawn by hashing, partition the units into buckets of bounded size; a unit goes to one bucket for
 each band, together with its signature. Within a bucket finer band keys find the units that may be alike, which are
 compared bit by bit, and what that leaves open is verified on the whole arrays. Buckets can be persisted partitioned by
-their key (BucketStore), so that a later batch reads only the buckets it falls in.
+their key (store.BucketStore), so that a later batch reads only the buckets it falls in.
 
 Equal contents are settled before any key is made, and rows like the first row of a crowded bucket before the buckets
 are opened, so that copies of one thing never meet all pairs. A bucket beyond its size is cut into blocks.
