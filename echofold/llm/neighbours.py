@@ -165,7 +165,7 @@ def _calibrate(vectors: DataFrame, tree: Tree, probes: np.ndarray, ids: list[str
 
 
 def most_similar(
-    rows: DataFrame, k: int = 10, least: float = 0.62, dims: int = 512, recall: float = 0.99, sample: int = 20_000, probes: int = 256, block: int = 8192
+    rows: DataFrame, k: int = 10, least: float = 0.62, dims: int = 512, recall: float = 0.99, sample: int = 10_000, probes: int = 256, block: int = 8192
 ) -> DataFrame:
     """(path, other, cosine, rank): for each path of `rows` (path, mtime, embedding) its k most similar other paths of cosine >= least.
 
