@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 # Frequent words of English, German, French and Spanish.
 COMMON = frozenset(
     """the of and to in a is that for it was on with as be at by this are from or an not but have has had they you we she he
-    his her its their my your our which what who when where if so no all can will would there then than also one two only
-    before after until without because every about into over under up out off more some any how does did do been were said
+    his her its their my your our which what who when where if so no all can will would there then than one only
+    before after until without because every about into over under up out off more some any how do been were said
     der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie
-    nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr durch wenn wir ich
+    nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr wenn wir ich
     le la les de des du et un une en que qui dans pour pas sur au aux est par plus ne se ce il elle nous vous sont avec ont
-    son sa ses mais ou où cette ces leur après avant sans puis si tout on y
-    el los las del y que por con para una su al lo como más pero sus está este esta sin sobre entre cuando muy hasta desde
-    también hay donde quien todo nos ya o fue era porque antes después se en es un""".split()
+    son sa ses mais ou où cette ces leur après sans si tout on y
+    el los las del y que por con para una su al lo como más pero sus está este esta sin sobre entre muy desde
+    también ya o fue era se en es un""".split()
 )
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 _END = re.compile(r"[.!?…:;][\"'”»)\]*_]*\s*$")
