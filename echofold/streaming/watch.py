@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,16 +18,21 @@ ATTRIBUTES = ("path", "duration", "file_size", "mtime")
 def alerts(new: DataFrame, known: DataFrame, threshold: float = 85.0) -> DataFrame:
     """(path, match, score) of new files against known ones of the same kind.
 
-    Durations differ by 2 s at most where both are known; the score is the mean of name (Levenshtein), duration (10 %
-    tolerance) and size over the aspects that are known, in whole percent. The join is on the kind and on neighbouring
-    two-second cells, so it needs no cross product; unknown durations meet in a cell of their own and with all others
-    through the files' stems' first letters only where both lack one.
+    Durations differ by 2 s at most where both are known; an unknown one meets all files of the kind. The score is the mean
+    of name (Levenshtein), duration (10 % tolerance) and size over the aspects that are known, in whole percent. Known
+    durations are joined on neighbouring two-second cells, the others on neighbouring cells of the stems' lengths: without
+    a duration the threshold bounds how far two names, and so their lengths, can differ, and no pair above it is lost.
     """
-    keyed = lambda df: df.select(*ATTRIBUTES, names.media_type(F.col("path")).alias("kind"), F.lower(names.stem(F.col("path"))).alias("stem"), F.coalesce(F.floor(F.col("duration") / 2), F.lit(-1)).alias("cell"))
-    a = keyed(new).withColumn("near", F.explode(F.when(F.col("cell") < 0, F.array(F.col("cell"))).otherwise(F.array(*[F.col("cell") + k for k in (-1, 0, 1)])))).alias("a")
-    b = keyed(known).alias("b")
-    met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.near") == F.col("b.cell")) & (F.col("a.path") != F.col("b.path")))
-    met = met.where(F.col("a.duration").isNull() | F.col("b.duration").isNull() | (F.abs(F.col("a.duration") - F.col("b.duration")) <= 2))
+    least = min(((threshold - 0.5) / 100 * 0.7 - 0.2) / 0.5 * 0.999, 0.99)  # the name's share where the size agrees fully
+    cell = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / -math.log(least)) if least > 0.01 else F.lit(0).cast("long")
+    keyed = lambda df: df.select(*ATTRIBUTES, names.media_type(F.col("path")).alias("kind"), F.lower(names.stem(F.col("path"))).alias("stem")).withColumn("cell", F.floor(F.col("duration") / 2)).withColumn("length_cell", cell(F.col("stem")))
+    near = lambda df, c: df.withColumn("near", F.explode(F.array(*[F.col(c) + k for k in (-1, 0, 1)])))
+    left, right = keyed(new), keyed(known)
+    same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.path") != F.col("b.path"))
+    timed = near(left.where("duration is not null"), "cell").alias("a").join(right.alias("b"), same & (F.col("a.near") == F.col("b.cell")) & (F.abs(F.col("a.duration") - F.col("b.duration")) <= 2))
+    untimed = near(left, "length_cell").alias("a").join(right.alias("b"), same & (F.col("a.near") == F.col("b.length_cell")) & (F.col("a.duration").isNull() | F.col("b.duration").isNull()))
+    sides = [F.struct(*[f"{k}.{c}" for c in (*ATTRIBUTES, "stem")]).alias(k) for k in ("a", "b")]
+    met = timed.select(*sides).unionByName(untimed.select(*sides))
     x, y = F.col("a.duration"), F.col("b.duration")
     aspects = [
         (0.5, names.levenshtein_ratio(F.col("a.stem"), F.col("b.stem"))),
@@ -70,7 +76,7 @@ def watch(stream: DataFrame, known_dir: str, alerts_dir: str, checkpoint: str, t
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def replayed_alerts(spark: SparkSession, files: DataFrame, source: str, threshold: float = 95.0) -> DataFrame:
+def replayed_alerts(spark: SparkSession, files: DataFrame, source: str, threshold: float = 85.0) -> DataFrame:
     """The alerts of a stream that reads the table at `source`; `files` gives the schema's attributes."""
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else tempfile.mkdtemp()

@@ -231,6 +231,14 @@ def test_watch_finds_copies_within_and_across_batches(spark, tmp_path):
     assert got == {("/b/clip.mp4", "/a/clip.mp4"), ("/d/clip1.mp4", "/a/clip.mp4"), ("/d/clip1.mp4", "/b/clip.mp4")}
 
 
+def test_alerts_let_one_unknown_duration_pass(spark):
+    schema = "path string, duration double, file_size long, mtime double"
+    new = spark.createDataFrame([("/a/holiday clip.mp4", None, 100, 1.0), ("/a/garden.mp4", 60.0, 100, 1.0), ("/a/short.mp4", 1.0, 100, 1.0)], schema)
+    known = spark.createDataFrame([("/b/holiday clip2.mp4", 61.0, 100, 1.0), ("/b/garden.mp4", None, 100, 1.0), ("/b/garden.mp3", None, 100, 1.0), ("/b/short.mp4", None, 100, 1.0), ("/c/garden.mp4", 90.0, 100, 1.0)], schema)
+    got = sorted((r.path, r.match) for r in watch.alerts(new, known).collect())
+    assert got == [("/a/garden.mp4", "/b/garden.mp4"), ("/a/holiday clip.mp4", "/b/holiday clip2.mp4"), ("/a/short.mp4", "/b/short.mp4")]
+
+
 def test_renames(spark):
     new = spark.createDataFrame([("n1", 5, 10), ("n2", None, 20), ("n3", None, 30), ("n4", None, 30)], "path string, inode long, file_size long")
     old = spark.createDataFrame([("o1", 5, 99), ("o2", None, 20), ("o3", None, 30)], "path string, inode long, file_size long")
