@@ -266,12 +266,29 @@ def x8_hash_similarity(spark, d):
     return own.select("entry_id", F.round(fingerprints.hash_similarity(F.col("h0"), F.col("hashes")), 6).alias("similarity"))
 
 
+@query
+def x8_rotated_similarity(spark, d):
+    """The rows that x8_hash_similarity leaves out, and those whose path's first row has several orientations."""
+    h = table(spark, d, "content_hashes").where("size(hashes) > 0").select("entry_id", "path", "hashes", "rotation_invariant")
+    first = h.groupBy("path").agg(F.min("entry_id").alias("entry_id"))
+    base = h.join(first.select("entry_id"), "entry_id", "left_semi").select("path", F.col("hashes").alias("h0"), F.col("entry_id").alias("e0"), F.col("rotation_invariant").alias("r0"))
+    own = h.join(base, "path").where("entry_id > e0 and (coalesce(rotation_invariant, false) or coalesce(r0, false))")
+    return own.select("entry_id", F.round(fingerprints.rotated_similarity(F.col("h0"), F.col("hashes")), 6).alias("similarity"))
+
+
 @query
 def x9_tfidf(spark, d):
     w = fingerprints.tfidf(table(spark, d, "documents").where("lang = 'de'"), "doc_id", "text")
     return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("most"))
 
 
+@query
+def x9_tfidf_all(spark, d):
+    """Over all documents; x9_tfidf is the slice that its SQL twin checks."""
+    w = fingerprints.tfidf(table(spark, d, "documents"), "doc_id", "text")
+    return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("most"))
+
+
 @query
 def x10_cosine(spark, d):
     e = table(spark, d, "embeddings")

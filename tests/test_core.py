@@ -245,6 +245,14 @@ def test_renames(spark):
     assert {(r.path, r.was) for r in watch.renames(new, old).collect()} == {("n1", "o1"), ("n2", "o2")}
 
 
+def test_whole_tables_of_hashes_and_documents(spark, tmp_path):
+    q = __spark_entry__.queries()
+    spark.createDataFrame([(1, "p", [1, 2, 3, 4], False), (2, "p", [0, 0, 0, 0, 1, 2, 3, 4], True), (3, "p", [1, 2, 3, 4], False), (4, "q", [0, 0, 0, 0, 5, 6, 7, 8], True), (5, "q", [5, 6, 7, 8], False)], "entry_id long, path string, hashes array<long>, rotation_invariant boolean").write.parquet(str(tmp_path / "content_hashes.parquet"))
+    assert {(r.entry_id, r.similarity) for r in q["x8_rotated_similarity"](spark, str(tmp_path)).collect()} == {(2, 1.0), (5, 1.0)}
+    spark.createDataFrame([(1, "de", "ein haus"), (2, "en", "a house"), (3, None, "haus boot"), (4, "en", None)], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {(r.doc_id, r.terms) for r in q["x9_tfidf_all"](spark, str(tmp_path)).collect()} == {(1, 2), (2, 1), (3, 2)}
+
+
 def test_entry_and_names():
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and len(q) > 60
