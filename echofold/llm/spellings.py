@@ -182,49 +182,91 @@ def forms(strings: DataFrame) -> DataFrame:
     return strings.mapInPandas(run, "field_name string, name string, form string, words string, numbers string")
 
 
-def _features(own: DataFrame, common: float) -> DataFrame:
-    """(id, block, field_name, gram, df, w): vectors of the forms (id, block, words): n-grams of rare words, common words whole.
+def _marked(own: DataFrame, common: float) -> DataFrame:
+    """(id, block, field_name, word, common, bare, single): the words of the forms (id, block, words).
 
-    A word is common if more than `common` of the field's forms have it (20 at least). Weights fall with the number of
-    forms that have the gram, and stop growing where fewer than one in a thousand has it.
+    A word is common if more than `common` of the field's forms have it (20 at least); a form is bare if all its words are, single if
+    it has one word only.
     """
     tokens = own.select("id", "block", "field_name", F.explode(F.array_distinct(F.split(F.regexp_replace("words", r"\.", ""), " "))).alias("word"))
     total = own.groupBy("field_name").agg(F.count("*").alias("n"))  # as many rows as fields
     frequent = tokens.groupBy("field_name", "word").count().join(F.broadcast(total), "field_name").where((F.col("count") > F.col("n") * common) & (F.col("count") > 20)).select("field_name", "word", F.lit(True).alias("common"))
-    ngrams = F.when(F.length("word") > 4, F.transform(F.sequence(F.lit(1), F.length("word") - 3), lambda k: F.substring(F.col("word"), k, F.lit(4)))).otherwise(F.array("word"))
-    grams = tokens.join(F.broadcast(frequent), ["field_name", "word"], "left").select("id", "block", "field_name", F.explode(F.when(F.col("common"), F.array(F.concat(F.lit("="), "word"))).otherwise(ngrams)).alias("gram")).distinct()
+    form = Window.partitionBy("id")
+    marked = tokens.join(frequent, ["field_name", "word"], "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    return marked.withColumn("bare", F.min("common").over(form)).withColumn("single", F.count("*").over(form) == 1)
+
+
+def _ngrams(word):
+    return F.when(F.length(word) > 4, F.transform(F.sequence(F.lit(1), F.length(word) - 3), lambda k: F.substring(word, k, F.lit(4)))).otherwise(F.array(word))
+
+
+def _features(own: DataFrame, marked: DataFrame) -> DataFrame:
+    """(id, block, field_name, gram, word, bare, single, df, w): vectors of the forms: n-grams of rare words, common words whole; of bare forms n-grams too.
+
+    Weights fall with the number of forms that have the gram, and stop growing where fewer than one in a thousand has it.
+    """
+    total = own.groupBy("field_name").agg(F.count("*").alias("n"))  # as many rows as fields
+    whole = F.array(F.concat(F.lit("="), "word"))
+    parts = F.when(F.col("bare"), F.concat(whole, _ngrams(F.col("word")))).when(F.col("common"), whole).otherwise(_ngrams(F.col("word")))
+    grams = marked.select("id", "block", "field_name", "word", "bare", "single", F.explode(parts).alias("gram")).groupBy("id", "block", "field_name", "bare", "single", "gram").agg(F.min("word").alias("word"))
     df = grams.groupBy("field_name", "gram").agg(F.count("*").alias("df"))
     w = grams.join(df, ["field_name", "gram"]).join(F.broadcast(total), "field_name").withColumn("w", F.log1p(F.col("n") / (F.col("df") + F.col("n") / 1000)))
-    return w.select("id", "block", "field_name", "gram", "df", "w")
+    return w.select("id", "block", "field_name", "gram", "word", "bare", "single", "df", "w")
+
+
+def _odd_words(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three lists of (id, key) for forms that differ in one word while their other words are common, so that no rare n-gram leads from one to the other.
+
+    Of the first, equal keys meet: the odd word (seven letters at most; longer ones keep an n-gram) less one letter, with
+    the other words. The second, of mistyped, shortened or initial words, meets the third, of bare forms: the odd
+    word's first letter with the other words, and an initial with the n-grams of each other word.
+    """
+    forms = marked.groupBy("id", "block", "bare").agg(F.array_sort(F.collect_list(F.struct("word", "common"))).alias("ws"))
+    each = forms.select("id", "block", "bare", "ws", F.explode("ws").alias("c")).select("id", "block", "bare", "c.word", "c.common", F.filter("ws", lambda x: (x["word"] != F.col("c.word")) & (F.length(x["word"]) > 1)).alias("others"))
+    each = each.withColumn("rest", F.array_join(F.transform("others", lambda x: x["word"]), " ")).where("rest != ''")
+    odd = each.where(F.forall("others", lambda x: x["common"]) & (F.col("bare") | ~F.col("common")))
+    less = F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.concat(F.substring(F.col("word"), F.lit(1), k - 1), F.substring(F.col("word"), k + 1, F.length("word"))))
+    near = odd.where(F.length("word").between(2, 7)).select("id", F.explode(F.array_distinct(F.concat(F.array("word"), less))).alias("v"), "block", "rest").select("id", F.xxhash64(F.lit("~"), "block", "v", "rest").alias("key"))
+    first = odd.select("id", "bare", (~F.col("common") | (F.length("word") == 1)).alias("short"), F.xxhash64(F.lit("^"), "block", F.substring("word", 1, 1), "rest").alias("key"))
+    grams = each.where(F.col("bare") | (F.length("word") == 1)).select("id", "block", "bare", "word", F.explode(F.array_distinct(F.flatten(F.transform("others", lambda x: _ngrams(x["word"]))))).alias("gram"))
+    grams = grams.select("id", "bare", (F.length("word") == 1).alias("short"), F.xxhash64(F.lit("^"), "block", F.substring("word", 1, 1), F.lit(""), "gram").alias("key"))
+    both = first.unionByName(grams)
+    return near, both.where("short").select("id", "key"), both.where("bare").select("id", "key")
 
 
 def similar_forms(own: DataFrame, cosine: float = 0.4, common: float = 0.0005) -> DataFrame:
-    """(a, b), a < b: the forms (id, block, field_name, words) of one block whose cosine can reach `cosine`.
+    """(a, b), a < b: the forms (id, block, field_name, words) of one block whose cosine can reach `cosine`, and those of common words that differ in one.
 
     Prefix join: with each vector's grams in one order, rarest first, a pair of that cosine shares a gram of both
     prefixes, a prefix ending where the rest of the vector is shorter than `cosine`.
     """
+    marked = cut(_marked(own, common))
     order = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("gram"))
-    f = _features(own, common).withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order)).withColumn("norm2", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    f = _features(own, marked).withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order)).withColumn("norm2", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     # past its prefix a vector keeps only its common words: they tell nothing alone, but narrow a gram down
-    kept = (F.col("rest") >= cosine * cosine * F.col("norm2")) | F.col("gram").startswith("=")
-    prefix = f.where(kept).select("id", "block", "field_name", "gram", (F.col("w") / F.sqrt("norm2")).alias("w"))
+    kept = (F.col("rest") >= cosine * cosine * F.col("norm2")) | F.col("gram").startswith("=") | F.col("bare")
+    prefix = f.where(kept).select("id", "block", "field_name", "bare", "single", "gram", "word", (F.col("w") / F.sqrt("norm2")).alias("w"))
     # one shared gram is chance where names are made of few syllables: the join is on two at once, of which one belongs to
-    # a rare word; grams that overlap count as two for artists only, whose names may have nothing else in common
-    own = prefix.groupBy("id", "block", "field_name").agg(F.array_sort(F.collect_list(F.struct("gram", "w"))).alias("g"))  # a name's own grams
+    # a rare word, or to another word where a form has common ones only; grams that overlap count as two for artists and
+    # single words only, which may have nothing else in common
+    own = prefix.groupBy("id", "block", "field_name", "bare", "single").agg(F.array_sort(F.collect_list(F.struct("gram", "word", "w"))).alias("g"))  # a name's own grams
     at = lambda k: F.element_at("g", k)
     word = lambda c: c.startswith("=")
     chained = lambda x, y: (F.substring(x, 2, 3) == F.substring(y, 1, 3)) | (F.substring(y, 2, 3) == F.substring(x, 1, 3))
-    useful = lambda x, y: ~(word(x) & word(y)) & ((F.col("field_name") == "tag_artist") | ~chained(x, y))
-    pair = lambda i, j: F.when(useful(at(i)["gram"], at(j)["gram"]), F.struct(F.xxhash64("block", at(i)["gram"], at(j)["gram"]).alias("key"), (at(i)["w"] * at(j)["w"]).alias("w")))
+    rare = lambda x, y: ~(word(x) & word(y)) & ((F.col("field_name") == "tag_artist") | ~chained(x, y))
+    useful = lambda x, y: F.when(F.col("single"), True).when(F.col("bare"), x["word"] != y["word"]).otherwise(rare(x["gram"], y["gram"]))
+    pair = lambda i, j: F.when(useful(at(i), at(j)), F.struct(F.xxhash64("block", at(i)["gram"], at(j)["gram"]).alias("key"), (at(i)["w"] * at(j)["w"]).alias("w")))
     two = F.flatten(F.transform(F.sequence(F.lit(1), F.size("g") - 1), lambda i: F.filter(F.transform(F.sequence(i + 1, F.size("g")), lambda j: pair(i, j)), lambda e: e.isNotNull())))
     keys = own.where(F.size("g") > 1).select("id", F.explode(two).alias("e")).select("id", "e.key", "e.w")
     lone = own.where(F.size("g") == 1).select("id", F.xxhash64("block", at(1)["gram"]).alias("key"), F.lit(1.0).alias("w"))
-    keys = keys.unionByName(lone)
+    near, short, full = _odd_words(marked)
+    keys = keys.unionByName(lone).unionByName(near.withColumn("w", F.lit(1.0)))
     a, b = keys.alias("a"), keys.alias("b")
     met = a.join(b, F.expr("a.key = b.key and a.id < b.id")).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("two"))
     # sums over pairs of shared grams are at most half the square of the cosine; a twelfth of that is asked for, as prefixes and overlaps leave some out
-    return met.where(F.col("two") >= cosine * cosine / 24).select("a", "b")
+    met = met.where(F.col("two") >= cosine * cosine / 24).select("a", "b")
+    a, b = short.alias("a"), full.alias("b")
+    return met.unionByName(a.join(b, F.expr("a.key = b.key and a.id != b.id")).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))).distinct()
 
 
 def average_linkage(ids: list, edges: dict[tuple, float], least: float) -> dict:

@@ -153,6 +153,17 @@ def test_spellings_found(spark):
     assert spellings.found_pairs(df.limit(0)).count() == 0
 
 
+def test_spellings_of_common_words_only(spark):
+    given = "timothy william barbara kenneth susannah matilda stephen nicholas lawrence rebecca harold walter jennifer theodore charles daniel gregory leonard patrick raymond victoria martha".split()
+    family = [f"{a}{b}lo" for a in ("beki", "trosta", "hupsu", "gafena", "zuhe") for b in ("bri", "te", "ka", "mo", "nu")][:22]
+    names = [f"{g} {f}" for g in given for f in family]  # each word in 22 forms
+    typed = {"timothy bekibrilo": ["timoxhy bekibrilo", "timothy bekibxilo", "t bekibrilo"], "harold trostatelo": ["harld trostatelo"], "martha gafenabrilo": ["marthagafenabrilo"]}
+    rows = names + [v for vs in typed.values() for v in vs]
+    df = spark.createDataFrame([(n, None, None) for n in rows], "tag_artist string, tag_title string, tag_album string")
+    got = {(r.name_a, r.name_b) for r in spellings.found_pairs(df).collect()}
+    assert {tuple(sorted((n, v))) for n, vs in typed.items() for v in vs} <= got
+
+
 def test_average_linkage_keeps_contradictions_apart():
     got = spellings.average_linkage([1, 2, 3], {(1, 2): 0.8, (2, 3): 0.7, (1, 3): -1.0}, 0.5)
     assert got[1] == got[2] != got[3]
