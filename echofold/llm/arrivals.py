@@ -1,249 +1,50 @@
 """Deduplicating new batches against all history.
 
-Bit signatures (perceptual hashes, audio fingerprints) are cut into units of 256 bits. Minwise band keys, the values of
-a few bit positions drawn by hashing, partition the units into buckets of bounded size; a unit goes to one bucket for
-each band, together with its signature. Within a bucket finer band keys find the units that may be alike, which are
-compared bit by bit, and what that leaves open is verified on the whole arrays. Buckets can be persisted partitioned by
-their key (store.BucketStore), so that a later batch reads only the buckets it falls in.
-
-Equal contents are settled before any key is made, and rows like the first row of a crowded bucket before the buckets
-are opened, so that copies of one thing never meet all pairs. A bucket beyond its size is cut into blocks.
+Bit signatures (perceptual hashes, audio fingerprints) go through a persisted `store.BucketStore`: minwise band keys with
+signatures, in folders by key. History is stored first; what has arrived since then probes only the folders of its own
+buckets, is verified bit by bit and on the whole arrays, and stored in its turn. History is never keyed again.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+import uuid
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.session import cut
-
-UNIT = 256
-
-
-@dataclass(frozen=True)
-class Shape:
-    """How an array becomes units. word: bits of a value that count, step: values from one unit to the next."""
-
-    word: int
-    step: int
-
-    @property
-    def values(self) -> int:
-        return UNIT // self.word
-
-
-HASHES, PRINTS = Shape(64, 4), Shape(32, 1)
-
-
-def band_bits(bands: int, bits: int, seed: int = 20_24) -> np.ndarray:
-    """(bands, bits) positions in a unit, drawn without replacement per band; the first `bands` rows are the same for every number of bands."""
-    return np.stack([np.random.default_rng([seed, b]).choice(UNIT, bits, replace=False) for b in range(bands)])
-
-
-#: Units a bucket (or a block of a crowded one) is meant to hold.
-BUCKET_UNITS = 30_000
-
-
-def key_bits(units: int, each: int = BUCKET_UNITS) -> int:
-    """Bits of a key so that the buckets of unrelated units hold about `each` at any number of units."""
-    return min(24, max(0, math.ceil(math.log2(max(units, 1) / each))))
-
-
-def bands_for(bits: int, tries: float, similarity: float = 0.84, recall: float = 0.95) -> int:
-    """Bands so that a pair of this similarity, met by `tries` units, shares a key with probability `recall`."""
-    if not bits:
-        return 1
-    p = similarity**bits
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p) / tries))
-
-
-def _unit_bits(values: np.ndarray, shape: Shape) -> np.ndarray:
-    """The 0/1 matrix of a row's units. A unit shorter than 256 bits does not occur: short arrays are repeated to its length."""
-    if shape.word == 64:
-        bits = np.unpackbits(values.astype("<i8").view(np.uint8)).reshape(-1, UNIT)
-        return bits
-    words = np.unpackbits((values & 0xFFFFFFFF).astype("<u4").view(np.uint8)).reshape(-1, 32)
-    n = shape.values
-    if len(words) < n:
-        words = np.tile(words, (-(-n // len(words)), 1))[:n]
-    return np.lib.stride_tricks.sliding_window_view(words, (n, 32))[:, 0].reshape(-1, UNIT)
-
-
-def similarity(a: np.ndarray, b: np.ndarray, shape: Shape, rotated: bool = False) -> float:
-    """Share of equal bits at the best position of the shorter array inside the longer; of rotated hashes, of the first of one and any of the other. 0 for empty arrays."""
-    if shape.word == 64:
-        x, y = (z.astype("<i8").view("<u8").reshape(-1, 4) for z in (a, b))
-    else:
-        x, y = ((z & 0xFFFFFFFF).astype("<u4").reshape(-1, 1) for z in (a, b))
-    if not len(x) or not len(y):
-        return 0.0
-    total = x.shape[1] * (64 if shape.word == 64 else 32)
-    d = np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64) if not rotated else None
-    if rotated:
-        one = np.bitwise_count(x[:1] ^ y).sum(1, dtype=np.int64).min()
-        two = np.bitwise_count(x ^ y[:1]).sum(1, dtype=np.int64).min()
-        return 1 - min(one, two) / total
-    if len(x) > len(y):
-        d = d.T
-    k, m = d.shape
-    return 1 - min(int(np.trace(d, offset=o)) for o in range(m - k + 1)) / (total * k)
-
-
-#: Bits of `flags` of a unit: its row holds orientations; it is the row's first; it is the row's only one.
-ROTATED, FIRST, ONLY = 1, 2, 4
-
-
-def _values(bits: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    return bits[:, positions].astype(np.float64) @ (2.0 ** np.arange(len(positions))) if len(positions) else np.zeros(len(bits))
+from echofold.llm.signatures import HASHES, PRINTS, Shape
+from echofold.llm.store import BucketStore
+from echofold.session import shared_folder
 
 
-def units_of(rows: DataFrame, shape: Shape, bits: int, bands: tuple[int, int, int], signature: bool = True) -> DataFrame:
-    """(bucket long, id long, flags int, unit binary): the units of rows (id, v array<long>, rotated boolean), once for each of their bands.
-
-    bands: of a row's first unit, of the other units of a rotated row, of the other units of any other row.
-    """
-    positions = band_bits(max(bands), bits)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                units = [_unit_bits(v, shape) for v in part["v"]]
-                n = np.array([len(u) for u in units])
-                if not n.sum():
-                    continue
-                m = np.concatenate(units)
-                ids, rotated = np.repeat(part["id"].to_numpy(), n), np.repeat(part["rotated"].to_numpy(bool), n)
-                place = np.concatenate([np.arange(k) for k in n])
-                flags = rotated * ROTATED + (place == 0) * FIRST + (np.repeat(n, n) == 1) * ONLY
-                most = np.where(place == 0, bands[0], np.where(rotated, bands[1], bands[2]))
-                packed = np.packbits(m, axis=1)
-                for b in range(max(bands)):
-                    use = np.flatnonzero(most > b)
-                    out = pd.DataFrame({"bucket": (b << bits) + _values(m[use], positions[b]).astype(np.int64), "id": ids[use], "flags": flags[use].astype(np.int32)})
-                    if signature:
-                        out["unit"] = [r.tobytes() for r in packed[use]]
-                    yield out
-
-    return rows.mapInPandas(run, "bucket long, id long, flags int" + ", unit binary" * signature)
-
-
-def _meet(probes: pd.DataFrame, known: pd.DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of probes, row of known) of units with at most `most` differing bits and a smaller id on the known side."""
-    p, x = (np.frombuffer(b"".join(d["unit"]), np.uint8).reshape(-1, UNIT // 8) for d in (probes, known))
-    pb, xb = np.unpackbits(p, axis=1), np.unpackbits(x, axis=1)
-    pw, xw = np.ascontiguousarray(p).view(np.uint64), np.ascontiguousarray(x).view(np.uint64)
-    pid, xid = probes["id"].to_numpy(), known["id"].to_numpy()
-    bits = max(8, math.ceil(math.log2(max(len(x), 1))) - 3)
-    left, right = [], []
-    for positions in band_bits(bands_for(bits, 1.0, recall=0.97), bits, seed=77):
-        xk, pk = _values(xb, positions), _values(pb, positions)
-        order = np.argsort(xk, kind="stable")
-        lo, hi = np.searchsorted(xk[order], pk), np.searchsorted(xk[order], pk, "right")
-        for at in range(0, len(pk), 2048):  # bounds the pairs held at once
-            n = hi[at : at + 2048] - lo[at : at + 2048]
-            i = np.repeat(np.arange(at, at + len(n)), n)
-            j = order[np.repeat(lo[at : at + 2048] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            ok = xid[j] < pid[i]
-            i, j = i[ok], j[ok]
-            near = np.bitwise_count(pw[i] ^ xw[j]).sum(1, dtype=np.int64) <= most
-            left.append(i[near])
-            right.append(j[near])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def met_in_buckets(rows: DataFrame, probes: DataFrame, shape: Shape, bits: int, bands: tuple[int, int, int], least: float) -> DataFrame:
-    """(id, other): of `probes` (id), the rows of `rows` with a smaller id and a unit alike; other is null where the units alone prove the rows alike."""
-    if shape.word == 64:
-        most = math.floor((1 - least) * UNIT + 1e-9)
-    else:
-        most = math.floor((1 - least + 0.02) * UNIT)  # the best window of a pair can be a little below its mean
-    # buckets beyond twice their size, of which there can't be more than units * bands / BUCKET_UNITS / 2
-    crowded = {r["bucket"]: -(-r["count"] // BUCKET_UNITS) for r in units_of(rows, shape, bits, bands, False).groupBy("bucket").count().where(F.col("count") > 2 * BUCKET_UNITS).collect()}
-    blocks = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("long") for kv in crowded.items() for x in kv]), F.col("bucket")), F.lit(1)) if crowded else F.lit(1).cast("long")
-    block = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id"), blocks)
-    every = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    known = units_of(rows, shape, bits, bands)
-    asking = units_of(rows.join(probes, "id", "left_semi"), shape, bits, bands)
-    left = asking.select("bucket", block(1).alias("p"), every.alias("k"), "id", "flags", "unit")
-    right = known.select(F.col("bucket").alias("b2"), every.alias("p2"), block(2).alias("k2"), "id", "flags", "unit")
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="Int64")})
-        if not len(a) or not len(b):
-            return empty
-        i, j = _meet(a, b, most)
-        fa, fb, ids, others = a["flags"].to_numpy()[i], b["flags"].to_numpy()[j], a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-        if shape.word == 64:
-            turned, first, only = (fa | fb) & ROTATED > 0, (fa | fb) & FIRST > 0, (fa | fb) & ONLY > 0
-            proven, possible = np.where(turned, first, only), ~turned & ~only
-        else:
-            proven, possible = np.zeros(len(i), bool), np.ones(len(i), bool)
-        sure = np.unique(ids[proven])
-        possible &= ~np.isin(ids, sure)
-        out = pd.DataFrame({"id": np.concatenate([sure, ids[possible]]), "other": pd.array(np.concatenate([np.zeros(len(sure), np.int64), others[possible]]), dtype="Int64")})
-        out.loc[: len(sure) - 1, "other"] = pd.NA
-        return out.drop_duplicates() if len(out) else empty
-
-    return left.groupBy("bucket", "p", "k").cogroup(right.groupBy("b2", "p2", "k2")).applyInPandas(match, "id long, other long")
-
-
-def _verify(pairs: DataFrame, rows: DataFrame, shape: Shape, least: float) -> DataFrame:
-    """(id, other) of pairs (id, other) whose contents in rows (id, v, rotated) are at least `least` alike."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            s = [similarity(a, b, shape, r or q) for a, b, r, q in zip(batch["v"], batch["w"], batch["rotated"], batch["r2"], strict=True)]
-            yield batch.loc[np.array(s, float) >= least, ["id", "other"]] if len(batch) else batch[["id", "other"]]
-
-    left = rows.select("id", "v", "rotated")
-    right = rows.select(F.col("id").alias("other"), F.col("v").alias("w"), F.col("rotated").alias("r2"))
-    return pairs.join(left, "id").join(right, "other").select("id", "v", "rotated", "other", "w", "r2").mapInPandas(run, "id long, other long")
-
-
-def repeats(rows: DataFrame, values: str, shape: Shape, least: float = 0.8, crowd: int = 64) -> DataFrame:
-    """(id long): the entry_id of each row with batch_no >= 1 that repeats a row of smaller entry_id.
-
-    `rows` has entry_id, batch_no, the array `values` and maybe rotation_invariant. Null and empty arrays and rows
-    without an id match nothing; an array with a null in it, or of hashes with an unfinished last hash, is cut before
-    it. Similarity is `similarity`; equal contents are found without keys, others by band keys (bands_for tells the
-    probability). Empty tables give no rows.
-    """
+def usable(rows: DataFrame, values: str, shape: Shape) -> DataFrame:
+    """(id, new, v, rotated) of the rows that can match: an array with a null in it, or of hashes with an unfinished last hash, is cut before it."""
     rotated = F.coalesce(F.col("rotation_invariant"), F.lit(False)) if "rotation_invariant" in rows.columns else F.lit(False)
     v = F.col(values)
     hole = F.coalesce(F.array_position(F.transform(v, lambda x: x.isNull()), True), F.lit(0))
     whole = F.when(hole > 0, F.slice(v, 1, F.greatest(hole - 1, F.lit(0)).cast("int"))).otherwise(v)
     if shape.word == 64:
         whole = F.slice(whole, 1, (F.size(whole) - F.size(whole) % 4).cast("int"))
-    table = rows.where(F.col("entry_id").isNotNull() & v.isNotNull()).select(F.col("entry_id").alias("id"), (F.coalesce(F.col("batch_no"), F.lit(0)) >= 1).alias("new"), whole.alias("v"), rotated.alias("rotated")).where(F.size("v") > 0)
-    # equal contents: all but the first of them repeat it, found by the first one's unique id
-    firsts = table.groupBy("v", "rotated").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by("new", "id").alias("new")).persist(StorageLevel.DISK_ONLY)
-    copies = table.where("new").select("id").join(firsts.select("id"), "id", "left_anti")
+    own = rows.where(F.col("entry_id").isNotNull() & v.isNotNull())
+    return own.select(F.col("entry_id").alias("id"), (F.coalesce(F.col("batch_no"), F.lit(0)) >= 1).alias("new"), whole.alias("v"), rotated.alias("rotated")).where(F.size("v") > 0)
+
+
+def repeats(rows: DataFrame, values: str, shape: Shape, least: float = 0.8, folder: str | None = None) -> DataFrame:
+    """(id long): the entry_id of each row with batch_no >= 1 that repeats a row of smaller entry_id, whatever that row's batch.
+
+    `rows` has entry_id, batch_no, the array `values` and maybe rotation_invariant. Null and empty arrays and rows
+    without an id match nothing. Similarity is signatures.similarity; equal contents are found by their digest, others by
+    band keys (signatures.bands_for tells the probability). Batch 0 is stored in `folder` (one of its own in the shared
+    folder if none is given), the batches after it have piled up and are added together; BucketStore.add takes them one by
+    one as well. Empty tables give no rows.
+    """
+    table = usable(rows, values, shape)
     units = F.size("v") / 4 if shape.word == 64 else F.greatest(F.size("v") - (shape.values - 1), F.lit(1))
-    n, mean = firsts.agg(F.coalesce(F.sum(units), F.lit(0.0)), F.coalesce(F.avg(units), F.lit(1.0))).first()
-    if not n:
-        return copies
-    bits = key_bits(int(n))
-    most = bands_for(bits, 1.0 if shape.word == 64 else max(1.0, 0.25 * mean), recall=0.97)
-    bands = (most, -(-most * 2 // 3), -(-most // 2)) if shape.word == 64 else (most, most, most)
-    base = firsts.select("id", "v", "rotated")
-    fresh = firsts.where("new").select("id")
-    # crowded buckets of fine keys of the rows' first units: rows like such a bucket's first row are settled at once
-    few = units_of(base, shape, 20, (2, 0, 0), False).select("bucket", "id")
-    crowded = few.groupBy("bucket").agg(F.min("id").alias("other"), F.count("*").alias("n")).where(F.col("n") >= crowd).drop("n")
-    to_first = few.join(crowded, "bucket").where("id > other").select("id", "other").distinct()
-    settled = cut(_verify(to_first.join(fresh, "id", "left_semi"), base, shape, least).select("id").distinct())
-    met = met_in_buckets(base, fresh.join(settled, "id", "left_anti"), shape, bits, bands, least).distinct().persist(StorageLevel.DISK_ONLY)
-    proven = met.where("other is null").select("id").distinct()
-    near = proven.unionByName(_verify(met.where("other is not null").join(proven, "id", "left_anti"), base, shape, least).select("id"))
-    return copies.unionByName(settled).unionByName(near).distinct()
+    n, shortest = table.agg(F.coalesce(F.sum(units), F.lit(0.0)), F.coalesce(F.min(units), F.lit(1.0))).first()
+    spark = rows.sparkSession
+    store = BucketStore(spark, folder or f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", shape, int(n), int(shortest), least)
+    store.append(table.where("not new"), 0)
+    return store.add(table.where("new"), 1)
 
 
 def repeated_pairs(scored: DataFrame) -> DataFrame:
