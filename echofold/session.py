@@ -14,14 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; set one of our own only where the cluster names none."""
+    """Use the folder named by spark.checkpoint.dir. Only where none is named and all tasks run on this machine, one of our own is set."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
+    if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="echofold-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables of our own that all executors can read."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the checkpoint folder and forget how it was made. It survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
