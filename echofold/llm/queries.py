@@ -22,6 +22,10 @@ def p2_current_values(spark: SparkSession, d: str) -> DataFrame:
     return survivors.current_values(table(spark, d, "envelope_groups"))
 
 
+def p2_hidden_times(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.hidden_times(table(spark, d, "envelope_groups"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.found_pairs(table(spark, d, "clip_embeddings"))
 
@@ -51,7 +55,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_current_values, p3_found, p4_found, p5_found, p6_packed, p7_found, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_current_values, p2_hidden_times, p3_found, p4_found, p5_found, p6_packed, p7_found, p8_found, p8_statistics)}
 
 
 P2 = """

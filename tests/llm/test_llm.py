@@ -74,7 +74,18 @@ def test_current_values_follow_the_learnt_order(spark):
     rows = [(k, None, [e("a", 1000, 10.0), e("b", 64000, 20.0)], "") for k in range(5)] + [(9, None, [e("new", 65000, None), e("old", 1010, None)], "")]
     got = {(r.group_id, r.field_name): (r.path, r.inferred) for r in survivors.current_values(spark.createDataFrame(rows, GROUPS)).collect()}
     assert got[0, "bitrate"] == ("b", False) and got[9, "bitrate"] == ("new", True)
-    assert survivors.class_order([(1, 2, 5), (2, 3, 4), (3, 1, 1)]) == [1, 2, 3]
+    hidden = {r.field_name: r for r in survivors.hidden_times(spark.createDataFrame(rows[:-1] * 6, GROUPS).selectExpr("cast(monotonically_increasing_id() % 1000 as int) as group_id", "generated_at", "files", "entries")).collect()}
+    assert hidden["bitrate"].n == hidden["bitrate"].right > 0 and hidden["file_size"].n == 0
+
+
+def test_a_groups_partial_order():
+    net = survivors.net_precedence([(1, 2, 5), (2, 3, 4), (3, 1, 1), (2, 1, 1)])
+    assert net == {(1, 2): 4, (2, 3): 4, (3, 1): 1}
+    assert survivors.partial_order([1, 2, 3], [], net) == {1: set(), 2: {1}, 3: {1, 2}}
+    assert survivors.partial_order([1, 2], [(2, 1)], net) == {1: {2}, 2: set()}  # own times come first
+    pick = lambda *e: survivors._pick([dict(zip("kt", x, strict=True)) for x in e], net)
+    assert pick((1, 5.0), (2, None)) == 1 and pick((2, 5.0), (1, None)) == 0 and pick((9, None), (8, None)) == 0
+    assert pick((2, 1.0), (1, 2.0), (3, None)) == 1 and pick((7, 1.0), (9, None)) == 0
 
 
 def test_words_without_case_accents_markup_and_layout():
