@@ -1,9 +1,9 @@
 """Per-document text quality statistics, and the kind of a document that is not natural prose.
 
 A text is cut into blocks of adjacent lines of one layout. Tables show in delimiters at the same place of every line
-(vertical alignment), lists in short lines of one shape (marker, key, indentation that repeats), flowing text in long
-lines of even length (autocorrelation); word, symbol and punctuation ratios then tell prose from junk. A document is of
-the kind that holds most of its characters.
+(vertical alignment); lists in lines of one shape (marker, key) or laid out as entries: not filled like wrapped text, while
+indents (periodicity) or line lengths (autocorrelation) come again in a period. Word, symbol and punctuation ratios then tell
+prose from junk. A document is of the kind that holds most of its characters.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ _HASHLIKE = re.compile(r"^[A-Za-z0-9+/=_-]{20,}$")
 _VOWELLESS = re.compile(r"\b[^\W\d_aeiouyAEIOUYÀ-ÿŒœ]{3,}\b")
 _PLAIN = re.compile(r"[\t|{<]| {3,}|^\s*(?:[-*•+>]|\d+[.)]|\[)\s", re.M)
 _DELIMITERS = "\t|;,"
+#: Autocorrelation from which indents and line lengths count as coming again.
+PERIODIC, ECHOING = 0.5, 0.6
 
 
 def autocorrelation(x: np.ndarray, lag: int = 1) -> float:
@@ -85,6 +87,30 @@ def periodicity(lines: list[str]) -> float:
     return max((autocorrelation(x, k) for k in range(1, 5)), default=0.0) if x.any() else 0.0
 
 
+def echo(lines: list[str]) -> float:
+    """How regularly line lengths come again: their best autocorrelation at a lag of 1 to 6; 0.0 where all are equal, as nothing can be told then."""
+    x = np.array([len(s) for s in lines], float)
+    return max((autocorrelation(x, k) for k in range(1, 7) if len(x) > 2 * k), default=0.0) if len(x) and np.ptp(x) else 0.0
+
+
+def fullness(lines: list[str]) -> float:
+    """Share of lines that the next line's first word would have made longer than the longest: near 1 in wrapped text, low in entries of their own."""
+    if len(lines) < 2:
+        return 1.0
+    width = max(map(len, lines))
+    return sum(len(a) + 1 + len(b.split(maxsplit=1)[0]) > width for a, b in zip(lines, lines[1:], strict=False)) / (len(lines) - 1)
+
+
+def entries_layout(lines: list[str]) -> bool:
+    """Whether short lines (shown ones) are laid out as entries: not filled like wrapped text nor ended like sentences, while indents or line lengths come again in a period, or no sentence ends at all."""
+    n = len(lines)
+    if n < 6 or sum(map(len, lines)) > 60 * n:
+        return False
+    if fullness(lines) >= 0.4 or sum(bool(_END.search(s)) for s in lines) >= 0.4 * n:
+        return False
+    return periodicity(lines) >= PERIODIC or echo(lines) >= ECHOING or sum(map(len, lines)) < 45 * n and len(_STOP.findall("\n".join(lines))) < 0.2 * n
+
+
 def statistics(text: str) -> dict[str, float]:
     """The ratios of one text; all are 0 where there is nothing to count."""
     words = _TOKEN.findall(text)
@@ -126,14 +152,12 @@ def _readable(text: str) -> bool:
 
 def _repeats(text: str) -> bool:
     """Whether it is filler: the same words or lines over and over."""
-    if len(text) < 120:
-        return False
     squeezed = len(zlib.compress(text.encode("utf-8", "replace"), 6)) / len(text.encode("utf-8", "replace"))
     words = text.lower().split()
     if len(words) >= 20:
         sentences = [s.strip() for s in re.split(r"[.!?\n]+", text.lower()) if s.strip()]
         same = Counter(sentences).most_common(1)[0][1] / len(sentences)
-        if len(sentences) >= 4 and same >= 0.5 or len(set(words)) / len(words) < 0.12 and len(words) < 2000 or len(set(zip(words, words[1:], words[2:], strict=False))) < 0.25 * (len(words) - 2):
+        if len(sentences) >= 4 and same >= 0.5 or len(set(zip(words, words[1:], words[2:], strict=False))) < 0.25 * (len(words) - 2):
             return True
     return squeezed < 0.1
 
@@ -178,7 +202,8 @@ def block_kind(lines: list[str]) -> str:
     """prose, list, table or junk: the kind of a block of lines."""
     t = "\n".join(lines)
     shown = [s for s in lines if s.strip()]
-    if not shown or _plainly_prose(t):
+    entries = entries_layout(shown)
+    if not shown or not entries and _plainly_prose(t):
         return "prose"
     tags = _TAG.findall(t)
     if tags and sum(map(len, tags)) > 0.3 * len(t):
@@ -205,7 +230,7 @@ def block_kind(lines: list[str]) -> str:
     if paths >= 0.6 * n and (n >= 2 or marked):
         return "list"
     keyed = sum(len(s) < 90 and bool(_KEY.match(s)) for s in shown)
-    if not prose and n >= 2 and (marked >= 0.8 * n or keyed >= 0.8 * n) and _readable(t):
+    if not prose and n >= 2 and (marked >= 0.8 * n or keyed >= 0.8 * n or entries) and _readable(t):
         return "list"
     solid = len(t) - sum(map(str.isspace, t))
     letters = sum(map(str.isalpha, t)) / solid
@@ -215,10 +240,10 @@ def block_kind(lines: list[str]) -> str:
     for s in shown:
         kinds[_one_line(_MARKER.sub("", s))] += len(s)
     flowing = prose and kinds["odd"] < 0.5 * total
-    short = marked >= 0.7 * n and n >= 3 and total / n < 45
+    short = (marked >= 0.7 * n or entries) and n >= 3 and total / n < 45
     if flowing and not short and kinds["prose"] + (kinds["short"] if kinds["prose"] > kinds["short"] else 0) > 0.5 * total:
         return "prose"
-    if n >= 2 and (marked >= 0.6 * n or keyed >= 0.6 * n):
+    if n >= 2 and (marked >= 0.6 * n or keyed >= 0.6 * n or entries and short and kinds["odd"] < 0.5 * total):
         return "list"
     if flowing:
         return "prose"
@@ -261,7 +286,7 @@ def blocks(text: str) -> list[list[str]]:
 
 def kind_of(text: str) -> str:
     """prose, list, table or junk, by most characters; blank texts are prose."""
-    if _plainly_prose(text):
+    if not entries_layout([s for s in text.splitlines() if s.strip()]) and _plainly_prose(text):
         return "prose"
     whole = Counter()
     parts = blocks(text)

@@ -125,6 +125,8 @@ def test_simhash_windows_equal_a_plain_count():
         ("/a/b/one.mp3\n/a/b/two.mp3\n/a/c/three.mp3", "list"),
         ("q8Hf+/zR2kLmN0pQ9sTuVwXyZaBcDeFgHiJkLmNoPqRsTuVwXyZ0123456789+/AB\n" * 4, "junk"),
         ("We are testing this line. " * 40, "junk"),
+        ("The House of the Sea\nA Night in the City\nOver the Hills and Far\nAll of It Was You\nThe One Who Is Not There\nIn the Shade of a Tree", "list"),
+        ("camera\n  lens\n  body\nrecorder\n  tape\n  battery\nprojector\n  lamp\n  reel", "list"),
         ("%$#@ ^&* !!~ <<>> ||| ==== +++ %%% ### @@@", "junk"),
     ],
 )
@@ -144,6 +146,9 @@ def test_statistics_of_blank_and_long_texts(spark):
 def test_alignment_and_periodicity():
     assert quality.alignment(["a\tb", "c\td", "e\tf"]) == 1.0 and quality.alignment(["one", "two"]) == 0.0
     assert quality.periodicity(["a", "  b", "a", "  b", "a", "  b", "a", "  b"]) > 0.6
+    assert quality.echo(["long line here", "x"] * 6) > 0.6 and quality.echo(["same"] * 6) == quality.echo([]) == 0.0
+    wrapped = "we looked at all of\nthe tapes, and then\nthe band went home,\nas it was late in\nthe day and nobody\nhad a key".split("\n")
+    assert quality.fullness(wrapped) == 1.0 and not quality.entries_layout(wrapped)
 
 
 def test_names_in_plain_form():
