@@ -106,7 +106,7 @@ def entries_layout(lines: list[str]) -> bool:
     n = len(lines)
     if n < 6 or sum(map(len, lines)) > 60 * n:
         return False
-    if fullness(lines) >= 0.4 or sum(bool(_END.search(s)) for s in lines) >= 0.4 * n:
+    if fullness(lines) >= 0.5 or sum(bool(_END.search(s)) for s in lines) >= 0.4 * n:
         return False
     return periodicity(lines) >= PERIODIC or echo(lines) >= ECHOING or sum(map(len, lines)) < 45 * n and len(_STOP.findall("\n".join(lines))) < 0.2 * n
 
