@@ -1,9 +1,11 @@
 """Variant spellings of names typed by people.
 
 Each distinct string gets a plain form: lower case, no accents, signs, articles or joining words, nicknames written out,
-part and volume numbers apart. Forms become sparse weighted vectors of character n-grams; a distributed prefix join finds
-the pairs of sufficient cosine, and their words are then laid beside each other (typos, initials, abbreviations,
-missing blanks). What holds together is grouped by average linkage.
+part and volume numbers apart, and words that are a slip away from one many times as frequent put right. Forms become sparse
+weighted vectors of character n-grams; a distributed prefix join finds the pairs that can reach a cosine, whose exact cosine
+is then computed and thresholded, and each name keeps its best partners. Words laid side by side (typos, initials,
+abbreviations, missing blanks) are evidence for or against a pair. Average linkage groups what holds together, over all
+pairs: those that were never compared count with their cosine, as two clusters' sums of vectors tell it.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ def plain(name: str) -> tuple[tuple[str, ...], tuple[int, ...]]:
             numbers.append(int(m[2]))
         elif w in _COUNTERS and k + 1 < len(pieces) and (pieces[k + 1].rstrip(".").isdigit() or pieces[k + 1].rstrip(".") in _ROMAN or pieces[k + 1].rstrip(".") in _SPELT):
             continue
-        elif w not in _DROPPED or len(pieces) == 1:
+        elif w not in _DROPPED or len(pieces) == 1 or w == "a" and (p == "a." or k and k == len(pieces) - 1 or len(pieces) == 2):  # an initial
             words.append(p if p.endswith(".") and len(w) > 1 and k + 1 <= len(pieces) else w)
     return tuple(words), tuple(sorted(numbers))
 
@@ -106,6 +108,12 @@ def _slack(a: str, b: str) -> int:
     return 0 if n < 3 else 1 if n < 6 else 2 if n < 11 else 3
 
 
+def _skeleton(short: str, full: str) -> bool:
+    """Whether all letters of an abbreviation stand in the word in their order, from the first on."""
+    rest = iter(full)
+    return len(short) > 1 and short[0] == full[0] and all(c in rest for c in short)
+
+
 def word_match(a: str, b: str) -> float:
     """How far two words can be the same: 1.0 equal, less for nicknames, typos, abbreviations and initials, 0.0 not at all."""
     p, q = a.rstrip("."), b.rstrip(".")
@@ -118,7 +126,7 @@ def word_match(a: str, b: str) -> float:
         a, b, p, q, x, y = b, a, q, p, y, x
     if len(p) == 1:
         return 0.6 if q.startswith(p) or y.startswith(p) else 0.0
-    if a.endswith(".") and (q.startswith(p) or len(p) > 3 and distance(p, q[: len(p)], 1) <= 1):
+    if a.endswith(".") and (q.startswith(p) or len(p) > 3 and distance(p, q[: len(p)], 1) <= 1 or _skeleton(p, q)):
         return 0.8
     d = min(distance(p, q, _slack(p, q)), distance(x, y, _slack(x, y)))
     if x == p and y != q or x != p and y == q:  # a mistyped nickname
@@ -182,6 +190,52 @@ def forms(strings: DataFrame) -> DataFrame:
     return strings.mapInPandas(run, "field_name string, name string, form string, words string, numbers string")
 
 
+def _deletes(word: str, most: int) -> set[str]:
+    """The word and what is left of it without one letter, or up to `most` letters."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:k] + w[k + 1 :] for w in last for k in range(len(w))}
+        out = out | last
+    return out
+
+
+def slips(words: DataFrame, ratio: int = 20) -> DataFrame:
+    """(field_name, word, head): words of the table (field_name, word, df) that are at most two edits away from one at least `ratio` times as frequent; the nearest, then the most frequent one.
+
+    Two such words share what is left of them without up to two letters, so the join on these remainders finds them all.
+    Words of fewer than four letters and abbreviations stay.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = [sorted(_deletes(w, min(2, _slack(w, w + "x")))) for w in batch["word"]]
+            yield batch.assign(key=keys).explode("key")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            d = np.array([distance(x, y, min(2, _slack(x, y))) for x, y in zip(batch["word"], batch["head"], strict=True)])
+            ok = d <= np.array([min(2, _slack(x, y)) for x, y in zip(batch["word"], batch["head"], strict=True)])
+            yield batch.assign(d=d)[ok]
+
+    usable = words.where((F.length("word") >= 4) & ~F.col("word").contains("."))
+    keyed = usable.mapInPandas(run, "field_name string, word string, df long, key string")
+    heads = keyed.where(F.col("df") >= ratio).select("field_name", "key", F.col("word").alias("head"), F.col("df").alias("head_df"))
+    met = keyed.join(heads, ["field_name", "key"]).where(F.col("head_df") >= ratio * F.col("df")).select("field_name", "word", "head", "head_df").distinct()
+    near = met.mapInPandas(check, "field_name string, word string, head string, head_df long, d long")
+    return near.groupBy("field_name", "word").agg(F.min_by("head", F.struct("d", -F.col("head_df"), "head")).alias("head"))
+
+
+def put_right(named: DataFrame, ratio: int = 20) -> DataFrame:
+    """`named` (of forms) with the words of slips() replaced, in words and form."""
+    texts = named.select("field_name", "words").distinct()
+    tokens = cut(texts.select("field_name", "words", F.posexplode(F.split("words", " ")).alias("at", "word")))
+    counts = tokens.groupBy("field_name", "word").agg(F.count_distinct("words").alias("df"))
+    heads = slips(counts, ratio)
+    fixed = tokens.join(heads, ["field_name", "word"], "left").groupBy("field_name", "words").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("head", "word").alias("w")))).alias("ws"))
+    fixed = fixed.select("field_name", "words", F.transform("ws", lambda x: x["w"]).alias("ws"))
+    return named.drop("form").join(fixed, ["field_name", "words"]).select("field_name", "name", F.array_join(F.array_sort("ws"), " ").alias("form"), F.array_join("ws", " ").alias("words"), "numbers")
+
+
 def _marked(own: DataFrame, common: float) -> DataFrame:
     """(id, block, field_name, word, common, bare, single): the words of the forms (id, block, words).
 
@@ -234,16 +288,18 @@ def _odd_words(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return near, both.where("short").select("id", "key"), both.where("bare").select("id", "key")
 
 
-def similar_forms(own: DataFrame, cosine: float = 0.4, common: float = 0.0005) -> DataFrame:
-    """(a, b), a < b: the forms (id, block, field_name, words) of one block whose cosine can reach `cosine`, and those of common words that differ in one.
+def candidates(own: DataFrame, cosine: float = 0.4, common: float = 0.0005) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a < b, and the vectors (id, grams array<long>, weights array<float>) of length 1: the forms (id, block, field_name, words) of one block whose cosine can reach `cosine`, and those of common words that differ in one.
 
     Prefix join: with each vector's grams in one order, rarest first, a pair of that cosine shares a gram of both
     prefixes, a prefix ending where the rest of the vector is shorter than `cosine`.
     """
     marked = cut(_marked(own, common))
     order = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("gram"))
-    f = _features(own, marked).withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order)).withColumn("norm2", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    f = cut(_features(own, marked)).withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order)).withColumn("norm2", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     # past its prefix a vector keeps only its common words: they tell nothing alone, but narrow a gram down
+    vectors = f.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), (F.col("w") / F.sqrt("norm2")).cast("float").alias("w")))).alias("v"))  # a name's own grams
+    vectors = vectors.select("id", F.transform("v", lambda x: x["g"]).alias("grams"), F.transform("v", lambda x: x["w"]).alias("weights"))
     kept = (F.col("rest") >= cosine * cosine * F.col("norm2")) | F.col("gram").startswith("=") | F.col("bare")
     prefix = f.where(kept).select("id", "block", "field_name", "bare", "single", "gram", "word", (F.col("w") / F.sqrt("norm2")).alias("w"))
     # one shared gram is chance where names are made of few syllables: the join is on two at once, of which one belongs to
@@ -266,73 +322,117 @@ def similar_forms(own: DataFrame, cosine: float = 0.4, common: float = 0.0005) -
     # sums over pairs of shared grams are at most half the square of the cosine; a twelfth of that is asked for, as prefixes and overlaps leave some out
     met = met.where(F.col("two") >= cosine * cosine / 24).select("a", "b")
     a, b = short.alias("a"), full.alias("b")
-    return met.unionByName(a.join(b, F.expr("a.key = b.key and a.id != b.id")).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))).distinct()
+    return met.unionByName(a.join(b, F.expr("a.key = b.key and a.id != b.id")).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))).distinct(), vectors
+
+
+def dot(x: dict[int, float], y: dict[int, float]) -> float:
+    if len(x) > len(y):
+        x, y = y, x
+    return sum(w * y[g] for g, w in x.items() if g in y)
+
 
+def average_linkage(vectors: dict[int, dict[int, float]], edges: dict[tuple, tuple[float, float]], least: float) -> dict:
+    """A cluster (its first id) for each id of `vectors` (of length 1): the two clusters of greatest average score join while that is `least` or more.
 
-def average_linkage(ids: list, edges: dict[tuple, float], least: float) -> dict:
-    """A cluster (its first id) for each id: the two clusters of greatest average score join while that is `least` or more. Pairs that were never compared don't count; contradictions count -1."""
-    members = {i: [i] for i in ids}
-    known: dict[object, dict[object, tuple[float, int]]] = {i: {} for i in ids}
-    for (a, b), s in edges.items():
-        known[a][b] = known[b][a] = (s, 1)
-    heap = [(-s, a, b) for (a, b), s in edges.items()]
+    edges: (a, b) -> (score, cosine) of the pairs that were compared. The average runs over all pairs of members; a pair that
+    was not compared counts with its cosine, so two clusters' sums of vectors and of score less cosine are all it takes.
+    """
+    members = {i: [i] for i in vectors}
+    sums = {i: dict(v) for i, v in vectors.items()}
+    more: dict[int, dict[int, float]] = {i: {} for i in vectors}
+    for (a, b), (s, c) in edges.items():
+        more[a][b] = more[b][a] = s - c
+    average = lambda a, b: (dot(sums[a], sums[b]) + more[a][b]) / (len(members[a]) * len(members[b]))
+    now = {(a, b): s for (a, b), (s, _) in edges.items()}
+    heap = [(-s, a, b) for (a, b), s in now.items() if s >= least]
     heapq.heapify(heap)
     while heap:
         s, a, b = heapq.heappop(heap)
-        if -s < least:
-            break
-        if a not in members or b not in members or b not in known[a] or abs(s + known[a][b][0] / known[a][b][1]) > 1e-12:
+        if a not in members or b not in members or now.get((a, b)) != -s:
             continue
         members[a] += members.pop(b)
-        for c, (v, n) in known.pop(b).items():
-            known[c].pop(b)
+        for g, w in sums.pop(b).items():
+            sums[a][g] = sums[a].get(g, 0.0) + w
+        for c, v in more.pop(b).items():
+            more[c].pop(b)
             if c != a:
-                w, m = known[a].get(c, (0.0, 0))
-                known[a][c] = known[c][a] = (v + w, n + m)
-        for c, (v, n) in known[a].items():
-            heapq.heappush(heap, (-v / n, a, c))
+                more[a][c] = more[c][a] = more[a].get(c, 0.0) + v
+        for c in more[a]:
+            pair = (min(a, c), max(a, c))
+            now[pair] = average(a, c)
+            if now[pair] >= least:
+                heapq.heappush(heap, (-now[pair], *pair))
     return {i: c for c, m in members.items() for i in m}
 
 
-def entities(files: DataFrame, cosine: float = 0.4, least: float = 0.5) -> DataFrame:
+def entities(files: DataFrame, cosine: float = 0.4, least: float = 0.3, best: int = 32, ratio: int = 20) -> DataFrame:
     """(field_name, name, entity long): every distinct string of the fields with the entity it names; forms of no variant are their own entity.
 
     Numbers (parts, volumes) must be equal. Null strings, strings without letters and placeholders for artists name
-    none. The number of spellings of one entity is what one task holds; the number of strings of one spelling isn't.
+    none. Pairs need a cosine of `cosine`, or words that agree; of these links each form keeps its `best` ones (either side
+    is enough), while contradictions all count, and so do in the average the pairs left out. The number of spellings of one
+    entity is what one task holds; the number of strings of one spelling isn't.
     """
-    spark = files.sparkSession
     strings = files.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("name")) for f in FIELDS])).alias("x")).select("x.*").where("name is not null").distinct()
-    named = cut(forms(strings).withColumn("id", F.xxhash64("field_name", "form", "numbers")).withColumn("block", F.xxhash64("field_name", "numbers")))
+    named = put_right(cut(forms(strings)), ratio)
+    named = cut(named.withColumn("id", F.xxhash64("field_name", "form", "numbers")).withColumn("block", F.xxhash64("field_name", "numbers")))
     own = named.groupBy("id").agg(F.first("block").alias("block"), F.first("field_name").alias("field_name"), F.min("words").alias("words"))
 
     def nicked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(words=[" ".join(NICKNAMES.get(w, w) for w in s.split(" ")) for s in batch["words"]])
 
-    pairs = similar_forms(own.mapInPandas(nicked, own.schema), cosine)
+    pairs, vectors = candidates(cut(own.mapInPandas(nicked, own.schema)), cosine)
+    vectors = cut(vectors)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            s = np.array([same_name(tuple(x.split(" ")), tuple(y.split(" "))) for x, y in zip(batch["x"], batch["y"], strict=True)])
-            yield batch.assign(s=s)[["a", "b", "s"]][s != 0]
-
-    left, right = own.select(F.col("id").alias("a"), F.col("words").alias("x")), own.select(F.col("id").alias("b"), F.col("words").alias("y"))
-    links = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long, s double"))
-    roots = components_of_ids(links.where("s > 0").select("a", "b"))
+            rule = np.array([same_name(tuple(x.split(" ")), tuple(y.split(" "))) for x, y in zip(batch["x"], batch["y"], strict=True)], float)
+            c = np.array([_cosine(*v) for v in zip(batch["g"], batch["w"], batch["h"], batch["u"], strict=True)], float)
+            # words that agree raise the cosine, words that exclude each other forbid the pair; where words can't tell, a high cosine does
+            s = np.where(rule < 0, -1.0, np.where(rule > 0, np.maximum(rule, c), np.where(c >= SURE, c, 0.0)))
+            yield batch.assign(s=s, c=c)[["a", "b", "s", "c"]][(s != 0) & ((c >= cosine) | (s > 0))]
+
+    side = own.join(vectors, "id")
+    left = side.select(F.col("id").alias("a"), F.col("words").alias("x"), F.col("grams").alias("g"), F.col("weights").alias("w"))
+    right = side.select(F.col("id").alias("b"), F.col("words").alias("y"), F.col("grams").alias("h"), F.col("weights").alias("u"))
+    scored = cut(pairs.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long, s double, c double"))
+    rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("s"), F.desc("c"), "a", "b"))
+    links = scored.where("s > 0").withColumn("ra", rank("a")).withColumn("rb", rank("b")).where((F.col("ra") <= best) | (F.col("rb") <= best)).select("a", "b", "s", "c")
+    links = cut(links.unionByName(scored.where("s < 0")))
+    roots = cut(components_of_ids(links.where("s > 0").select("a", "b")))
     linked = links.join(roots.select(F.col("v").alias("a"), "root"), "a").join(roots.select(F.col("v").alias("b"), F.col("root").alias("other")), "b").where("root = other")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * 8, 64)
+    buckets = max(64, links.count() // 4000)  # follows the data: a task takes a few thousand links, or one entity's
+    bucket = F.pmod(F.xxhash64("root"), F.lit(buckets))
+    own_vectors = roots.select(F.col("v").alias("id"), F.col("root").alias("top")).join(vectors, "id")
+    own_vectors = own_vectors.select(F.pmod(F.xxhash64("top"), F.lit(buckets)).alias("part"), "top", "id", "grams", "weights")
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+    def cluster(edges: pd.DataFrame, vecs: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in pdf.groupby("root", sort=False):
-            edges = {(min(a, b), max(a, b)): s for a, b, s in zip(g["a"].tolist(), g["b"].tolist(), g["s"].tolist(), strict=True)}
-            out += average_linkage(sorted({i for e in edges for i in e}), edges, least).items()
+        by_root = dict(list(edges.groupby("root", sort=False)))
+        for root, g in vecs.groupby("top", sort=False):
+            own = {i: dict(zip(x.tolist(), w.tolist(), strict=True)) for i, x, w in zip(g["id"].tolist(), g["grams"], g["weights"], strict=True)}
+            e = by_root[root]
+            links = {(min(a, b), max(a, b)): (s, c) for a, b, s, c in zip(e["a"].tolist(), e["b"].tolist(), e["s"].tolist(), e["c"].tolist(), strict=True)}
+            out += average_linkage(own, links, least).items()
         return pd.DataFrame(out, columns=["id", "entity"]).astype("int64")
 
-    grouped = linked.withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(buckets))).groupBy("bucket").applyInPandas(cluster, "id long, entity long")
+    grouped = linked.withColumn("bucket", bucket).select("bucket", "root", "a", "b", "s", "c").groupBy("bucket").cogroup(own_vectors.groupBy("part")).applyInPandas(cluster, "id long, entity long")
     return named.join(grouped, "id", "left").select("field_name", "name", F.coalesce("entity", "id").alias("entity"))
 
 
+#: Cosine from which a pair counts although its words can't tell.
+SURE = 0.8
+
+
+def _cosine(g: np.ndarray, w: np.ndarray, h: np.ndarray, u: np.ndarray) -> float:
+    """Of two vectors given as ascending grams and their weights."""
+    at = np.searchsorted(h, g)
+    ok = at < len(h)
+    ok[ok] = h[at[ok]] == g[ok]
+    return float((w[ok] * u[at[ok]]).sum())
+
+
 def found_pairs(files: DataFrame, **options) -> DataFrame:
     """(field_name, name_a, name_b), name_a < name_b: the different strings of one field that name the same entity."""
     e = cut(entities(files, **options))

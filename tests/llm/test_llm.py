@@ -156,6 +156,8 @@ def test_names_in_plain_form():
     assert spellings.same_name(("timothy", "bekibriski"), ("bekibriski", "t")) > 0.7
     assert spellings.same_name(("danieltrostetrala",), ("daniel", "trostetrala")) > 0.9
     assert spellings.same_name(("kenneth", "gekihalo"), ("susannah", "gekihalo")) == -1.0
+    assert spellings.plain("dorireze, a")[0] == ("dorireze", "a") and spellings.plain("a. dorireze")[0] == ("a", "dorireze") and spellings.plain("a song of x")[0] == ("song", "x")
+    assert spellings.word_match("yth.", "youth") == 0.8 and spellings.word_match("yth.", "month") == 0.0
     assert spellings.distance("abcd", "abdc", 2) == 1
 
 
@@ -180,9 +182,19 @@ def test_spellings_of_common_words_only(spark):
     assert {tuple(sorted((n, v))) for n, vs in typed.items() for v in vs} <= got
 
 
-def test_average_linkage_keeps_contradictions_apart():
-    got = spellings.average_linkage([1, 2, 3], {(1, 2): 0.8, (2, 3): 0.7, (1, 3): -1.0}, 0.5)
+def test_average_linkage_over_all_pairs():
+    v = {1: {1: 1.0}, 2: {1: 0.8, 2: 0.6}, 3: {2: 1.0}}
+    got = spellings.average_linkage(v, {(1, 2): (0.8, 0.8), (2, 3): (0.7, 0.6), (1, 3): (-1.0, 0.0)}, 0.3)
     assert got[1] == got[2] != got[3]
+    got = spellings.average_linkage(v, {(1, 2): (0.8, 0.8), (2, 3): (0.7, 0.6)}, 0.3)  # 1 and 3 count with their cosine, 0
+    assert got[1] == got[2] == got[3]
+    assert spellings.average_linkage(v, {(1, 2): (0.8, 0.8), (2, 3): (0.5, 0.6)}, 0.3)[3] == 3
+
+
+def test_slips_are_put_right(spark):
+    rows = [("tag_title", "warehouse", 60), ("tag_title", "warehuose", 2), ("tag_title", "watrehuse", 3), ("tag_title", "warehousing", 1), ("tag_title", "ware.", 1), ("tag_album", "warehuose", 1), ("tag_title", "wherehouse", 4)]
+    got = {(r.field_name, r.word): r["head"] for r in spellings.slips(spark.createDataFrame(rows, "field_name string, word string, df long")).collect()}
+    assert got == {("tag_title", "warehuose"): "warehouse", ("tag_title", "watrehuse"): "warehouse"}
 
 
 def test_neighbours_against_brute_force(spark):
