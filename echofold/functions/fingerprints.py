@@ -62,6 +62,32 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (dot(a, a) > 0) & (dot(b, b) > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
+def frames_cosine(a: Column, b: Column, dims: int = 512) -> Column:
+    """Of two arrays of one or more frames of `dims` floats: the mean cosine of the shorter one's frames at its best place in the longer, 0.0 to 1.0.
+
+    Null where either is null or not of whole frames; frames without length are like nothing (0.0).
+    """
+    frames = lambda x: F.transform(F.sequence(F.lit(0), (F.size(x) / dims).cast("int") - 1), lambda k: F.slice(x, k * dims + 1, F.lit(dims)))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+    near = lambda x, y: F.coalesce(dot(x, y) / F.nullif(F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)), F.lit(0.0)), F.lit(0.0))
+    swap = F.size(a) <= F.size(b)
+    short, long_ = frames(F.when(swap, a).otherwise(b)), frames(F.when(swap, b).otherwise(a))
+    offsets = F.sequence(F.lit(0), F.size(long_) - F.size(short))
+    mean = lambda o: F.aggregate(F.zip_with(short, F.slice(long_, o + 1, F.size(short)), near), F.lit(0.0), lambda s, v: s + v) / F.size(short)
+    whole = (F.size(a) >= dims) & (F.size(b) >= dims) & (F.size(a) % dims == 0) & (F.size(b) % dims == 0)
+    return F.when(whole, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.array_max(F.transform(offsets, mean)))))
+
+
+def tfidf_cosine(pairs: DataFrame, weights: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(a, b, cosine) of pairs of keys whose texts tfidf() has weighted; 0.0 where they share no term, no row where either has no weights."""
+    sides = pairs.select(a, b).distinct()
+    known = weights.select(key).distinct()
+    sides = sides.join(known.withColumnRenamed(key, a), a, "left_semi").join(known.withColumnRenamed(key, b), b, "left_semi")
+    x, y = weights.select(F.col(key).alias(a), "term", F.col("weight").alias("_x")), weights.select(F.col(key).alias(b), "term", F.col("weight").alias("_y"))
+    shared = sides.join(x, a).join(y, [b, "term"]).groupBy(a, b).agg(F.sum(F.col("_x") * F.col("_y")).alias("cosine"))
+    return sides.join(shared, [a, b], "left").select(a, b, F.coalesce(F.least("cosine", F.lit(1.0)), F.lit(0.0)).alias("cosine"))
+
+
 def pre_hash(content: Column) -> Column:
     """MD5 of the first 4 KiB."""
     return F.md5(F.substring(content, 1, 4096))

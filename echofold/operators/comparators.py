@@ -68,8 +68,8 @@ def exif() -> Column:
     true = [F.col(f"{s}.{x}") for s in "ab" for x in ("width", "height")]
     own = F.lit(True)
     for e, t in zip(size, true, strict=True):
-        own = own & (t.isNull() | (e == t))
-    same = _known((own & (size[0] == size[2]) & (size[1] == size[3])).cast("double"), *size)
+        own = own & (e == t)
+    same = _known((own & (size[0] == size[2]) & (size[1] == size[3])).cast("double"), *size, *true)
     return weighted([(0.35, _linear(*_both("exif_datetime"), 3600.0)), (0.20, equal("exif_camera")), (0.10, equal("exif_lens")), (0.25, near), (0.10, same)])
 
 

@@ -9,7 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofold.functions import names
+from echofold.functions import fingerprints, names
 from echofold.operators import blocking, comparators
 from echofold.session import default_parallelism
 
@@ -132,11 +132,11 @@ COSTLY = {"tags": comparators.tags, "doc_meta": comparators.document}
 
 
 def score_pairs(pairs: DataFrame, weights: dict[str, float], threshold: float = 50.0, extra: dict[str, Column] | None = None) -> DataFrame:
-    """(path_a, path_b, total double, score double, identical boolean, breakdown map<string,double>) of pairs with structs a and b.
+    """(path_a, path_b, total double, score double, identical boolean, breakdown map<string,double>, detail map<string,struct<raw,weight>> of what is known) of pairs with structs a and b.
 
     Unknown aspects add nothing and give no weight to others. Equal normalized names of equal size are 100. Pairs of
-    equal size and equal hash of the first block are taken for byte-identical: 100, with that alone as breakdown. Other
-    pairs need a file-name value of 0.6, unless `extra` (Columns by name, for content and audio) has a value, and a
+    equal size, equal hash of the first block and equal SHA-256 (a field of a and b; without it none is claimed) are
+    byte-identical: 100, with that alone as breakdown. Other pairs need a file-name value of 0.6, unless `extra` (Columns by name, for content and audio) has a value, and a
     total of `threshold` before rounding. What built-in expressions can tell rejects pairs before the costly ratios run.
     """
     extra = extra or {}
@@ -144,7 +144,8 @@ def score_pairs(pairs: DataFrame, weights: dict[str, float], threshold: float =
     size = F.col("a.file_size")
     same_size = (size == F.col("b.file_size")) & (size > 0)
     identical = F.coalesce((F.col("a.name") == F.col("b.name")) & same_size, F.lit(False))
-    bytes_equal = F.coalesce(~identical & same_size & (F.col("a.pre_hash") == F.col("b.pre_hash")), F.lit(False))
+    told = "sha256" in pairs.schema["a"].dataType.names
+    bytes_equal = F.coalesce(~identical & same_size & (F.col("a.pre_hash") == F.col("b.pre_hash")) & (F.col("a.sha256") == F.col("b.sha256")), F.lit(False)) if told else F.lit(False)
     step = pairs.select("path_a", "path_b", "a", "b", identical.alias("identical"), bytes_equal.alias("bytes_equal"), *[c.alias(f"raw_{k}") for k, c in own.items()])
     sure = sum((F.coalesce(F.col(f"raw_{k}") * weights[k], F.lit(0.0)) for k in own), F.lit(0.0))
     open_weight = sum(w for k, w in weights.items() if k not in own)
@@ -163,21 +164,85 @@ def score_pairs(pairs: DataFrame, weights: dict[str, float], threshold: float =
     total = F.when(F.col("identical") | F.col("bytes_equal"), 100.0).otherwise(total)
     full = F.map_from_arrays(F.array(*[F.lit(k) for k in weights]), F.array(*[F.round(F.col(f"raw_{k}") * float(w), 1) for k, w in weights.items()]))
     breakdown = F.when(F.col("bytes_equal"), F.create_map(F.lit("byte_identical"), F.lit(100.0))).otherwise(full)
-    return step.select("path_a", "path_b", total.alias("total"), "identical", breakdown.alias("breakdown")).where(F.col("total") >= threshold).withColumn("score", F.round("total", 1))
+    pairs_of = F.array(*[F.struct(F.lit(k).alias("key"), F.struct(F.col(f"raw_{k}").alias("raw"), F.lit(float(w)).alias("weight")).alias("value")) for k, w in weights.items()])
+    detail = F.map_from_entries(F.filter(pairs_of, lambda e: e["value"]["raw"].isNotNull()))
+    detail = F.when(F.col("bytes_equal"), F.create_map(F.lit("byte_identical"), F.struct(F.lit(1.0).alias("raw"), F.lit(100.0).alias("weight")))).otherwise(detail)
+    out = step.select("path_a", "path_b", total.alias("total"), "identical", breakdown.alias("breakdown"), detail.alias("detail"))
+    return out.where(F.col("total") >= threshold).withColumn("score", F.round("total", 1))
 
 
-def find_duplicates(files: DataFrame, mode: str, threshold: float = 50.0, weights: dict[str, float] | None = None, pair_limit: int | None = 50_000, cross_names: bool = True) -> DataFrame:
-    """Scored pairs of one mode (video, image, audio, document): pairs within a bucket, and across buckets those with similar names."""
-    own = prepared(latest(files.where(names.media_type(F.col("path")) == mode)))
+def content_pairs(hashes: DataFrame, least: float = 0.95) -> DataFrame:
+    """(path_a, path_b): all pairs of files (path, content_hash array<long>, whole hashes of 4 longs) with two hashes alike by `least` or more, however they are named.
+
+    Hashes that differ in at most r of 256 bits agree in one of r + 1 blocks of bits, so the join on blocks loses none; the
+    higher `least`, the longer and more selective the blocks. Equal hashes are compared once.
+    """
+    frames = hashes.where("path is not null and size(content_hash) >= 4").select("path", F.explode(F.transform(F.sequence(F.lit(0), (F.size("content_hash") / 4).cast("int") - 1), lambda k: F.slice("content_hash", k * 4 + 1, F.lit(4)))).alias("h")).distinct()
+    distinct = frames.select("h").distinct()
+    n = math.floor((1 - least) * 256 + 1e-9) + 1
+    bits = F.concat(*[F.lpad(F.bin(F.get("h", k)), 64, "0") for k in range(4)])
+    cuts = [round(256 * k / n) for k in range(n + 1)]
+    keys = distinct.select("h", F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring(bits, a + 1, b - a)) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])).alias("key"))
+    a, b = keys.alias("a"), keys.alias("b")
+    wrong = F.aggregate(F.zip_with(F.col("a.h"), F.col("b.h"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h") <= F.col("b.h")) & (wrong < n)).select(F.col("a.h").alias("x"), F.col("b.h").alias("y")).distinct()
+    left, right = frames.select(F.col("path").alias("p"), F.col("h").alias("x")), frames.select(F.col("path").alias("q"), F.col("h").alias("y"))
+    return met.join(left, "x").join(right, "y").where("p <> q").select(F.least("p", "q").alias("path_a"), F.greatest("p", "q").alias("path_b")).distinct()
+
+
+def content_comparator(rotated: bool = False) -> Column:
+    """How alike the contents of structs a and b are, by the first of these that both have: SimHash of a document, vectors of frames, perceptual hashes; null where they share none."""
+    both = lambda f: (F.col(f"a.{f}"), F.col(f"b.{f}"))
+    hashes = fingerprints.rotated_similarity(*both("content_hash")) if rotated else fingerprints.hash_similarity(*both("content_hash"))
+    known = lambda f: F.col(f"a.{f}").isNotNull() & F.col(f"b.{f}").isNotNull()
+    return F.when(known("simhash"), fingerprints.simhash_similarity(*both("simhash"))).when(known("clip_embedding"), fingerprints.frames_cosine(*both("clip_embedding"))).when(known("content_hash"), hashes)
+
+
+CONTENT = "path string, content_hash array<bigint>, clip_embedding array<float>, simhash bigint, audio_fingerprint array<bigint>"
+
+
+def with_content(files: DataFrame, content: DataFrame | None) -> DataFrame:
+    """`files` with the columns of CONTENT from `content` (path and any of them); those it lacks are null."""
+    if content is None:
+        return files
+    kinds = dict(c.split(" ", 1) for c in CONTENT.split(", "))
+    shown = [F.col(c) if c in content.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+    return files.join(content.select(*shown), "path", "left")
+
+
+def find_duplicates(
+    files: DataFrame, mode: str, threshold: float = 50.0, weights: dict[str, float] | None = None, pair_limit: int | None = None, cross_names: bool = True,
+    content: DataFrame | None = None, sha256: DataFrame | None = None, rotated: bool = False, least_content: float = 0.95, extra: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Scored pairs of one mode (video, image, audio, document): pairs within a bucket, across buckets those with similar names, and those of similar content.
+
+    pair_limit splits buckets of more pairs by resolution and size, which loses pairs; by default none is. `content` (path,
+    content_hash, clip_embedding, simhash, audio_fingerprint; one row a path) adds the comparators content and audio and the
+    pass over hashes alike by `least_content`; `weights` defaults to the mode's profile with them. `sha256` (path, sha256)
+    tells byte-identical files. `extra` adds comparators of one's own, Columns over structs a and b.
+    """
+    own = with_content(prepared(latest(files.where(names.media_type(F.col("path")) == mode))), content)
+    if sha256 is not None:
+        own = own.join(sha256.select("path", "sha256"), "path", "left")
+    extra = dict(extra or {})
+    profile = mode
+    if content is not None:
+        if "audio_fingerprint" in content.columns:
+            extra["audio"] = fingerprints.audio_similarity(F.col("a.audio_fingerprint"), F.col("b.audio_fingerprint"))
+            profile = {"video": "video+audio", "audio": "audio+fp"}.get(mode, mode)
+        if set(content.columns) & {"content_hash", "clip_embedding", "simhash"}:
+            extra["content"] = content_comparator(rotated)
+            profile += "+content"
+    weights = weights or WEIGHTS[profile]
+    extra = {k: c for k, c in extra.items() if k in weights}
     if mode == "image":
         bucketed = own.withColumn("bucket", blocking.resolution_tier(F.col("width").cast("long") * F.col("height")))
-        if pair_limit is not None:
-            bucketed = blocking.refined_buckets(bucketed, pair_limit)
-        else:
-            bucketed = bucketed.withColumn("sub", F.lit(""))
+        bucketed = blocking.refined_buckets(bucketed, pair_limit)
     else:
         bucketed = blocking.refined_buckets(blocking.anchored_buckets(own, "page_count" if mode == "document" else "duration"), pair_limit)
     pairs = bucket_pairs(bucketed)
     if cross_names:
         pairs = candidates(pairs, similar_names(own.select("path", "name")))
-    return score_pairs(attach(pairs, own), weights or WEIGHTS[mode], threshold)
+    if "content" in extra:
+        pairs = candidates(pairs, content_pairs(own.select("path", "content_hash"), least_content))
+    return score_pairs(attach(pairs, own), weights, threshold, extra)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from echofold.functions import fingerprints, formats, names
 from echofold.operators import blocking, cache, comparators, filters, groups, scoring
-from echofold.plans import reports, sql
+from echofold.plans import reports, scores_sql, sql
 from echofold.session import is_real, table
 from echofold.streaming import watch
 
@@ -26,7 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in sql.SQL.items() if k in QUERIES}
+    return {k: v for k, v in (sql.SQL | scores_sql.queries()).items() if k in QUERIES}
 
 
 def _files(spark, d):
@@ -500,7 +501,7 @@ def s19_replay(spark, d):
 
 @query
 def t1_incremental_alerts(spark, d):
-    return watch.replayed_alerts(spark, _latest(spark, d), f"{d}/files.parquet")
+    return watch.replayed_alerts(spark, f"{d}/files.parquet", uuid.uuid4().hex)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

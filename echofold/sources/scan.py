@@ -9,6 +9,7 @@ import re
 import tomllib
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -113,16 +114,52 @@ def _docx(content: bytes) -> tuple:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         core = ET.fromstring(z.read("docProps/core.xml")) if "docProps/core.xml" in z.namelist() else None
         body = z.read("word/document.xml") if "word/document.xml" in z.namelist() else b""
-    get = lambda tag: next((e.text for e in core.iter() if e.tag.endswith("}" + tag)), None) if core is not None else None
-    return get("title"), get("creator"), get("created"), max(1, len(re.findall(rb"<w:p[ >/]", body)) // 4)
+    get = lambda tag: next((e.text.strip() for e in core.iter() if e.tag.endswith("}" + tag) and e.text), None) if core is not None else None
+    return _plain(get("title")), _plain(get("creator")), get("created"), max(1, len(re.findall(rb"<w:p[ >/]", body)) // 4)
+
+
+def _plain(text: str | None) -> str | None:
+    """Titles and authors compare without case and surrounding blanks; an empty one is unknown."""
+    return (text or "").strip().lower() or None
+
+
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(content: bytes, key: bytes) -> str | None:
+    """The text after /key, as (literal) with escapes or as <hex>, in UTF-16 where it begins with its mark."""
+    m = re.search(rb"/" + key + rb"\s*(?:\(((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*)\)|<([0-9A-Fa-f\s]*)>)", content, re.S)
+    if not m:
+        return None
+    if m[1] is not None:
+        raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda e: bytes([int(e[1], 8) & 255]) if e[1].isdigit() else b"" if e[1].endswith(b"\n") else _ESCAPES.get(e[1], e[1]), m[1], flags=re.S)
+    else:
+        digits = re.sub(rb"\s", b"", m[2])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    for mark, coding in ((b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le"), (b"\xef\xbb\xbf", "utf-8")):
+        if raw.startswith(mark):
+            return raw[len(mark) :].decode(coding, "replace")
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
 
 
 def _pdf(content: bytes) -> tuple:
+    """Objects packed into compressed streams are looked at too."""
     if not content.startswith(b"%PDF"):
         return None, None, None, None
-    pages = len(re.findall(rb"/Type\s*/Page(?![A-Za-z])", content))
-    field = lambda k: (m := re.search(rb"/" + k + rb"\s*\(((?:[^()\\]|\\.)*)\)", content)) and m[1].decode("latin-1")
-    return field(b"Title"), field(b"Author"), field(b"CreationDate"), pages or None
+    parts = [content]
+    for m in re.finditer(rb"/ObjStm.{0,400}?stream\r?\n", content, re.S):
+        try:
+            parts.append(zlib.decompressobj().decompress(content[m.end() :]))
+        except zlib.error:
+            continue
+    whole = b"\n".join(parts)
+    counts = [int(n) for n in re.findall(rb"/Count\s+(\d+)", whole)]
+    pages = len(re.findall(rb"/Type\s*/Page(?![A-Za-z])", whole)) or max(counts, default=0)
+    created = _pdf_string(whole, b"CreationDate")
+    return _plain(_pdf_string(whole, b"Title")), _plain(_pdf_string(whole, b"Author")), created.strip() if created else None, pages or None
 
 
 def documents(spark: SparkSession, paths: DataFrame) -> DataFrame:

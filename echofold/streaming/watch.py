@@ -3,45 +3,77 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from echofold.functions import names
-from echofold.session import ensure_checkpoint_dir
+from echofold.operators import scoring
+from echofold.session import shared_folder
 
-ATTRIBUTES = ("path", "duration", "file_size", "mtime")
+ATTRIBUTES = ("path", "duration", "width", "height", "file_size", "mtime")
+KNOWN = "path string, duration double, width int, height int, file_size bigint, mtime double, batch bigint"
+ASPECTS = ("filename", "duration", "resolution", "file_size")
 
 
-def alerts(new: DataFrame, known: DataFrame, threshold: float = 85.0) -> DataFrame:
+def default_weights(kind: str) -> dict[str, float]:
+    """The weights of a kind's profile, of the aspects that watching looks at."""
+    return {k: float(w) for k, w in scoring.WEIGHTS[kind].items() if k in ASPECTS}
+
+
+def _ratio(x: Column, y: Column) -> Column:
+    """Smaller by larger; 1.0 for two zeros, 0.0 where either is unknown."""
+    return F.when(x.isNull() | y.isNull(), 0.0).when((x == 0) & (y == 0), 1.0).otherwise(F.least(x, y) / F.greatest(x, y).cast("double"))
+
+
+def _log_cells(c: Column, least: float) -> Column:
+    """Cells of a positive number such that two numbers of which the smaller is `least` of the larger or more lie in one or in neighbouring cells; zeros have a cell of their own."""
+    if least <= 0.01:
+        return F.lit(0).cast("long")
+    return F.when(c <= 0, F.lit(-(1 << 40)).cast("long")).otherwise(F.floor(F.log(c.cast("double")) / -math.log(min(least * 0.999, 0.99))))
+
+
+def alerts(new: DataFrame, known: DataFrame, threshold: float = 85.0, weights: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """(path, match, score) of new files against known ones of the same kind.
 
-    Durations differ by 2 s at most where both are known; an unknown one meets all files of the kind. The score is the mean
-    of name (Levenshtein), duration (10 % tolerance) and size over the aspects that are known, in whole percent. Known
-    durations are joined on neighbouring two-second cells, the others on neighbouring cells of the stems' lengths: without
-    a duration the threshold bounds how far two names, and so their lengths, can differ, and no pair above it is lost.
+    Durations differ by 2 s at most where both are known; an unknown one meets all files of the kind. The score is the
+    weighted mean of name (Levenshtein), duration (10 % tolerance), resolution and size in whole percent; an unknown aspect
+    counts 0 and keeps its weight. `weights` by kind replaces default_weights. Known durations are joined on neighbouring
+    two-second cells. Where one is unknown, what the threshold leaves open bounds how far sizes and name lengths can differ,
+    and those are joined on neighbouring cells, so no pair is lost and no kind meets in one cell. Rows without a path or of no
+    known kind give nothing.
     """
-    least = min(((threshold - 0.5) / 100 * 0.7 - 0.2) / 0.5 * 0.999, 0.99)  # the name's share where the size agrees fully
-    cell = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / -math.log(least)) if least > 0.01 else F.lit(0).cast("long")
-    keyed = lambda df: df.select(*ATTRIBUTES, names.media_type(F.col("path")).alias("kind"), F.lower(names.stem(F.col("path"))).alias("stem")).withColumn("cell", F.floor(F.col("duration") / 2)).withColumn("length_cell", cell(F.col("stem")))
-    near = lambda df, c: df.withColumn("near", F.explode(F.array(*[F.col(c) + k for k in (-1, 0, 1)])))
+    weights = weights or {kind: default_weights(kind) for kind in names.SUFFIXES}
+    keyed = lambda df: df.where("path is not null").select(*ATTRIBUTES, names.media_type(F.col("path")).alias("kind"), F.lower(names.stem(F.col("path"))).alias("stem")).withColumn("cell", F.floor(F.col("duration") / 2))
     left, right = keyed(new), keyed(known)
+    around = lambda c: F.explode(F.array(*[F.col(c) + k for k in (-1, 0, 1)]))
     same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.path") != F.col("b.path"))
-    timed = near(left.where("duration is not null"), "cell").alias("a").join(right.alias("b"), same & (F.col("a.near") == F.col("b.cell")) & (F.abs(F.col("a.duration") - F.col("b.duration")) <= 2))
-    untimed = near(left, "length_cell").alias("a").join(right.alias("b"), same & (F.col("a.near") == F.col("b.length_cell")) & (F.col("a.duration").isNull() | F.col("b.duration").isNull()))
-    sides = [F.struct(*[f"{k}.{c}" for c in (*ATTRIBUTES, "stem")]).alias(k) for k in ("a", "b")]
-    met = timed.select(*sides).unionByName(untimed.select(*sides))
-    x, y = F.col("a.duration"), F.col("b.duration")
-    aspects = [
-        (0.5, names.levenshtein_ratio(F.col("a.stem"), F.col("b.stem"))),
-        (0.3, F.when((x == 0) & (y == 0), 1.0).when(x.isNotNull() & y.isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(x - y) / (F.greatest(x, y) * 0.1)))),
-        (0.2, F.when((F.col("a.file_size") == 0) & (F.col("b.file_size") == 0), 1.0).otherwise(F.least("a.file_size", "b.file_size") / F.greatest("a.file_size", "b.file_size"))),
-    ]
-    known_weight = sum((F.when(c.isNotNull(), w).otherwise(0.0) for w, c in aspects), F.lit(0.0))
-    value = sum((F.coalesce(c * w, F.lit(0.0)) for w, c in aspects), F.lit(0.0)) / known_weight
-    return met.select(F.col("a.path").alias("path"), F.col("b.path").alias("match"), F.round(value * 100).cast("int").alias("score")).where(F.col("score") >= threshold)
+    sides = [F.struct(*[f"{k}.{c}" for c in (*ATTRIBUTES, "kind", "stem")]).alias(k) for k in ("a", "b")]
+    met = left.withColumn("near", around("cell")).alias("a").join(right.alias("b"), same & (F.col("a.near") == F.col("b.cell")) & (F.abs(F.col("a.duration") - F.col("b.duration")) <= 2)).select(*sides)
+    for kind, w in weights.items():
+        needed, name, size = (threshold - 0.5) / 100 * sum(w.values()), w.get("filename", 0.0), w.get("file_size", 0.0)
+        rest = w.get("resolution", 0.0)
+        if name + size + rest < needed:
+            continue  # without a duration the threshold is out of reach
+        alike = [(needed - rest - size) / name if name else 0.0, (needed - rest - name) / size if size else 0.0]
+        cells = lambda df: df.where(F.col("kind") == kind).withColumn("long", _log_cells(F.length("stem"), alike[0])).withColumn("big", _log_cells(F.coalesce("file_size", F.lit(0)), alike[1]))  # noqa: B023, E731
+        x = cells(left).withColumn("near", around("long")).withColumn("near2", around("big"))
+        on = same & (F.col("a.near") == F.col("b.long")) & (F.col("a.near2") == F.col("b.big")) & (F.col("a.duration").isNull() | F.col("b.duration").isNull())
+        met = met.unionByName(x.alias("a").join(cells(right).alias("b"), on).select(*sides))
+    d, e = F.col("a.duration"), F.col("b.duration")
+    pixels = [F.col(f"{s}.width").cast("long") * F.col(f"{s}.height") for s in "ab"]
+    raw = {
+        "filename": names.levenshtein_ratio(F.col("a.stem"), F.col("b.stem")),
+        "duration": F.when(d.isNull() | e.isNull(), 0.0).when((d == 0) & (e == 0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(d - e) / (F.greatest(d, e) * 0.1))),
+        "resolution": _ratio(*pixels),
+        "file_size": _ratio(F.col("a.file_size"), F.col("b.file_size")),
+    }
+    score = F.lit(None).cast("int")
+    for kind, w in weights.items():
+        if (total := sum(w.values())) > 0:
+            score = F.when(F.col("a.kind") == kind, F.round(sum((raw[k] * v for k, v in w.items()), F.lit(0.0)) / total * 100).cast("int")).otherwise(score)
+    return met.select(F.col("a.path").alias("path"), F.col("b.path").alias("match"), score.alias("score")).where(F.col("score") >= threshold)
 
 
 def renames(new: DataFrame, vanished: DataFrame) -> DataFrame:
@@ -51,21 +83,26 @@ def renames(new: DataFrame, vanished: DataFrame) -> DataFrame:
     return first.unionByName(by("file_size").join(first.select("path"), "path", "left_anti").join(first.select("was"), "was", "left_anti").select("path", "was"))
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def watch(stream: DataFrame, known_dir: str, alerts_dir: str, checkpoint: str, threshold: float = 85.0) -> StreamingQuery:
     """Runs `alerts` on each micro-batch of the stream until it has read what is there.
 
     A known path of the same size and time is dropped; a changed one is scored again. Two copies in one batch find each
-    other once. A batch writes its files under its own number, so that running it again after a failure replaces them.
+    other once. A batch writes its files under its own number, so that running it again after a failure replaces them. If
+    the known files can't be read the batch fails; only a folder that isn't there yet means that nothing is known.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.select(*ATTRIBUTES).where("path is not null").dropDuplicates(["path"]).persist()
-        try:
-            known = spark.read.schema("path string, duration double, file_size bigint, mtime double, batch bigint").parquet(known_dir).where(F.col("batch") < number)
-        except Exception:  # nothing is known yet
-            known = spark.createDataFrame([], "path string, duration double, file_size bigint, mtime double, batch bigint")
-        last = known.groupBy("path").agg(F.max_by(F.struct("duration", "file_size", "mtime"), "batch").alias("k")).select("path", "k.*")
+        own = batch.where("path is not null")
+        fresh = (scoring.latest(own) if "scanned_at" in own.columns else own.dropDuplicates(["path"])).select(*ATTRIBUTES).persist()
+        known = spark.read.schema(KNOWN).parquet(known_dir) if _exists(spark, known_dir) else spark.createDataFrame([], KNOWN)
+        known = known.where(F.col("batch") < number)
+        last = known.groupBy("path").agg(F.max_by(F.struct(*ATTRIBUTES[1:]), "batch").alias("k")).select("path", "k.*")
         new = fresh.join(last.select("path", "file_size", "mtime"), ["path", "file_size", "mtime"], "left_anti").persist()
         out = alerts(new, last, threshold).unionByName(alerts(new, new, threshold).where("path > match"))
         out.write.mode("overwrite").parquet(f"{alerts_dir}/batch={number}")
@@ -76,12 +113,10 @@ def watch(stream: DataFrame, known_dir: str, alerts_dir: str, checkpoint: str, t
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def replayed_alerts(spark: SparkSession, files: DataFrame, source: str, threshold: float = 85.0) -> DataFrame:
-    """The alerts of a stream that reads the table at `source`; `files` gives the schema's attributes."""
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else tempfile.mkdtemp()
-    base = f"{base}/watch-{abs(hash((source, id(files))))}"
-    folder, _, name = source.rpartition("/")
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("pathGlobFilter", "*.parquet").parquet(source if not source.endswith(".parquet") else f"{folder}/{name[:-8]}*.parquet")
+def replayed_alerts(spark: SparkSession, source: str, name: str, threshold: float = 85.0) -> DataFrame:
+    """The alerts of a stream that reads the table at `source`; state is kept in the shared folder under `name`, by which a broken run is taken up again."""
+    base = f"{shared_folder(spark)}/watch-{name}"
+    folder, _, file = source.rpartition("/")
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("pathGlobFilter", "*.parquet").parquet(source if not source.endswith(".parquet") else f"{folder}/{file[:-8]}*.parquet")
     watch(stream, f"{base}/known", f"{base}/alerts", f"{base}/state", threshold).awaitTermination()
     return spark.read.schema("path string, match string, score int").parquet(f"{base}/alerts").select("path", "match", "score")
