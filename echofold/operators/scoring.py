@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from echofold.functions import fingerprints, names
 from echofold.operators import blocking, comparators
-from echofold.session import default_parallelism
+from echofold.session import cut, default_parallelism
 
 # Default weights by profile.
 WEIGHTS = {
@@ -69,13 +69,25 @@ def prepared(files: DataFrame) -> DataFrame:
     return files.select(*ATTRIBUTES, names.normalize_filename(F.col("filename")).alias("name"))
 
 
-def bucket_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub")) -> DataFrame:
-    """(path_a, path_b), path_a < path_b: all pairs within a bucket."""
-    thin = bucketed.select("path", *keys)
-    a, b = thin.alias("a"), thin.alias("b")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+#: Files of a bucket that one task pairs with as many others.
+BLOCK = 2_000
+
+
+def bucket_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub"), block: int = BLOCK) -> DataFrame:
+    """(path_a, path_b), path_a < path_b: all pairs within a bucket.
+
+    A bucket of more than `block` files, that of unknown values for one, is cut into blocks by hash, and each block is joined
+    with each: so no task holds more than two blocks, and every pair still meets once.
+    """
+    thin = bucketed.select("path", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]).alias("_key"), *[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
+    large = cut(thin.groupBy("_key").count().where(F.col("count") > block).select("_key", F.ceil(F.col("count") / block).cast("int").alias("_n")))
+    thin = thin.join(large, "_key", "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_b", F.pmod(F.xxhash64("path"), F.col("_n")).cast("int"))
+    # a block meets itself and those after it as the left side, and those before it as the right side
+    a = thin.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).alias("a")
+    b = thin.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).alias("b")
+    same = (F.col("a._key") == F.col("b._key")) & (F.col("a._b") == F.col("b._with")) & (F.col("a._with") == F.col("b._b"))
+    for i in range(len(keys)):
+        same = same & F.col(f"a._{i}").eqNullSafe(F.col(f"b._{i}"))
     return a.join(b, same & (F.col("a.path") < F.col("b.path"))).select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"))
 
 

@@ -23,11 +23,15 @@ def query(f):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from echofold.plans import more
+
+    return QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in (sql.SQL | scores_sql.queries()).items() if k in QUERIES}
+    from echofold.plans import more
+
+    return {k: v for k, v in (sql.SQL | scores_sql.queries() | more.SQL).items() if k in QUERIES or k in more.QUERIES}
 
 
 def _files(spark, d):
@@ -277,15 +281,9 @@ def x8_rotated_similarity(spark, d):
     return own.select("entry_id", F.round(fingerprints.rotated_similarity(F.col("h0"), F.col("hashes")), 6).alias("similarity"))
 
 
-@query
-def x9_tfidf(spark, d):
-    w = fingerprints.tfidf(table(spark, d, "documents").where("lang = 'de'"), "doc_id", "text")
-    return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("most"))
-
-
 @query
 def x9_tfidf_all(spark, d):
-    """Over all documents; x9_tfidf is the slice that its SQL twin checks."""
+    """Over all documents."""
     w = fingerprints.tfidf(table(spark, d, "documents"), "doc_id", "text")
     return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("most"))
 
@@ -421,11 +419,6 @@ def keep_groups(spark, d):
     return groups.group_keeper(_members(spark, d), "newest")
 
 
-@query
-def keep_groups_biggest(spark, d):
-    return groups.group_keeper(_members(spark, d), "biggest")
-
-
 @query
 def delete_groups(spark, d):
     return groups.group_deletes(_members(spark, d), "newest")
@@ -508,8 +501,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents within a page-count bucket whose SimHashes agree in nine of ten bits."""
     docs = table(spark, d, "documents").where("text is not null")
     prints = fingerprints.simhash64(docs, "doc_id", "text").join(docs.select("doc_id", "page_count"), "doc_id")
-    b = blocking.anchored_buckets(prints.where("simhash is not null"), "page_count").select("doc_id", "simhash", "bucket")
-    x, y = b.alias("x"), b.alias("y")
-    pairs = x.join(y, F.col("x.bucket").eqNullSafe(F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    sim = fingerprints.simhash_similarity(F.col("x.simhash"), F.col("y.simhash"))
-    return pairs.select(F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b"), sim.alias("similarity")).where("similarity >= 0.9")
+    own = prints.where("simhash is not null").withColumn("path", F.col("doc_id"))
+    pairs = scoring.bucket_pairs(blocking.anchored_buckets(own, "page_count"), ("bucket",)).toDF("doc_a", "doc_b")
+    side = lambda s: prints.select(F.col("doc_id").alias(f"doc_{s}"), F.col("simhash").alias(f"h_{s}"))
+    both = pairs.join(side("a"), "doc_a").join(side("b"), "doc_b")
+    return both.select("doc_a", "doc_b", fingerprints.simhash_similarity(F.col("h_a"), F.col("h_b")).alias("similarity")).where("similarity >= 0.9")

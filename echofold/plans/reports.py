@@ -84,3 +84,10 @@ def dry_run(doomed: DataFrame) -> DataFrame:
     """(n_files, bytes, n_sidecars) of the files that would go."""
     own = doomed.select("path", "file_size", F.coalesce(F.greatest(F.size("sidecars"), F.lit(0)), F.lit(0)).alias("s")).dropDuplicates(["path"])
     return own.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("s"), F.lit(0)).alias("n_sidecars"))
+
+
+def envelope(stats: DataFrame, args: dict[str, str], version: str = "1") -> DataFrame:
+    """(envelope): one JSON record of a run's version, time, arguments and the one row of `stats`; pairs or groups are written beside it, one record a line."""
+    told = F.struct(*[F.lit(v).alias(k) for k, v in args.items()]) if args else F.struct(F.lit(None).cast("string").alias("none"))
+    head = F.struct(F.lit(version).alias("version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generated_at"), told.alias("args"), F.struct(*stats.columns).alias("stats"))
+    return stats.select(F.to_json(head).alias("envelope"))

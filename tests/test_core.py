@@ -1,5 +1,7 @@
 import json
+import random
 import zipfile
+import zlib
 
 import pytest
 from hypothesis import given
@@ -100,8 +102,48 @@ def test_scores_gate_identical_and_byte_equal(spark):
         {"path": "/d/wholly different.mp3", "filename": "wholly different", "duration": 102.0, "file_size": 9, "pre_hash": "h3"},
         {"path": "/e/no time.mp3", "filename": "no time"},
     ]
-    got = {(r.path_a[1], r.path_b[1]): (r.score, r.breakdown) for r in scoring.find_duplicates(files(spark, *rows), "audio").collect()}
-    assert got["a", "b"][0] == 100.0 and got["c", "d"] == (100.0, {"byte_identical": 100.0}) and set(got) == {("a", "b"), ("c", "d")}
+    sums = spark.createDataFrame([("/c/other name.mp3", "s"), ("/d/wholly different.mp3", "s")], "path string, sha256 string")
+    got = {(r.path_a[1], r.path_b[1]): (r.score, r.breakdown, r.detail) for r in scoring.find_duplicates(files(spark, *rows), "audio", sha256=sums).collect()}
+    assert got["a", "b"][0] == 100.0 and got["c", "d"][:2] == (100.0, {"byte_identical": 100.0}) and set(got) == {("a", "b"), ("c", "d")}
+    assert got["a", "b"][2]["duration"].raw == 0.8 and "tags" in got["a", "b"][2]
+    plain = scoring.find_duplicates(files(spark, *rows), "audio").collect()  # one block's hash alone proves nothing
+    assert {(r.path_a[1], r.path_b[1]) for r in plain} == {("a", "b")}
+
+
+def test_content_pass_and_comparators(spark):
+    rows = [{"path": f"/{i}/{n}.png", "filename": n, "width": w, "height": w, "exif_camera": c} for i, (n, w, c) in enumerate((("harbour", 100, "c"), ("IMG 77", 3000, "c"), ("lake", 900, "c")))]
+    h = spark.createDataFrame([("/0/harbour.png", [1, 2, 3, 4]), ("/1/IMG 77.png", [1, 2, 3, 5]), ("/2/lake.png", [-1, -1, -1, -1])], "path string, content_hash array<long>")
+    got = {(r.path_a, r.path_b): r for r in scoring.find_duplicates(files(spark, *rows), "image", content=h).collect()}
+    assert set(got) == {("/0/harbour.png", "/1/IMG 77.png")} and round(got["/0/harbour.png", "/1/IMG 77.png"].detail["content"].raw, 6) == round(1 - 1 / 256, 6)
+    assert {(r.path_a, r.path_b) for r in scoring.content_pairs(h).collect()} == {("/0/harbour.png", "/1/IMG 77.png")}
+    own = scoring.find_duplicates(files(spark, *rows), "image", weights={"mine": 100}, extra={"mine": F.lit(1.0)}).collect()
+    assert len(own) == 0 or all(r.score == 100.0 for r in own)
+    assert scoring.content_pairs(h.limit(0)).count() == 0
+
+
+def test_content_pairs_lose_none(spark):
+    rnd = random.Random(3)
+    base = [[rnd.getrandbits(63) for _ in range(4)] for _ in range(12)]
+    near = [[v ^ (1 << rnd.randrange(63)) ^ (1 << rnd.randrange(63)) ^ (1 << rnd.randrange(63)) for v in h] for h in base]
+    rows = [(f"p{i:02}", h) for i, h in enumerate(base + near)]
+    d = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True))
+    true = {(a, b) for a, x in rows for b, y in rows if a < b and d(x, y) <= 12}
+    got = {(r.path_a, r.path_b) for r in scoring.content_pairs(spark.createDataFrame(rows, "path string, content_hash array<long>")).collect()}
+    assert got == true and len(true) >= 12
+
+
+def test_large_buckets_meet_in_blocks(spark):
+    df = spark.createDataFrame([(f"p{i:03}", None if i < 70 else float(i % 3)) for i in range(100)], "path string, bucket double")
+    pairs = scoring.bucket_pairs(df, ("bucket",), block=8)
+    got = [(r.path_a, r.path_b) for r in pairs.collect()]
+    true = {(f"p{i:03}", f"p{j:03}") for i in range(100) for j in range(i + 1, 100) if (i < 70) == (j < 70) and (i < 70 or i % 3 == j % 3)}
+    assert len(got) == len(true) and set(got) == true
+
+
+def test_exif_sizes_need_known_sizes(spark):
+    df = files(spark, {"path": "/a.png", "filename": "a", "exif_width": 10, "exif_height": 10, "width": 10, "height": 10}, {"path": "/b.png", "filename": "b", "exif_width": 10, "exif_height": 10})
+    p = scoring.attach(spark.createDataFrame([("/a.png", "/b.png")], "path_a string, path_b string"), scoring.prepared(df))
+    assert p.select(comparators.exif().alias("e")).first().e is None
 
 
 def test_similar_names_lose_no_pair(spark):
@@ -190,8 +232,12 @@ def test_sources(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         scan.scan(spark, [str(tmp_path / "none")])
     docs = {r.path.rsplit("/", 1)[1]: r for r in scan.documents(spark, got.where("path like '%.txt' or path like '%.docx' or path like '%.pdf'")).collect()}
-    assert docs["b.txt"].page_count == 2 and docs["c.txt"].page_count == 0 and docs["d.docx"].doc_title == "T" and docs["d.docx"].page_count == 2
+    assert docs["b.txt"].page_count == 2 and docs["c.txt"].page_count == 0 and docs["d.docx"].doc_title == "t" and docs["d.docx"].page_count == 2
     assert docs["e.pdf"].page_count == 1 and docs["e.pdf"].doc_created == "2024-01-31T12:00:00+00:00"
+    assert docs["e.pdf"].doc_title == "hi"
+    packed = zlib.compress(b"<< /Type /Page >> << /Type /Page >> /Title <FEFF00C400620063> /Author ( A \\(b\\) \\101 )")
+    title, author, _, pages = scan._pdf(b"%PDF-1.5 5 0 obj << /Type /ObjStm /Filter /FlateDecode >> stream\n" + packed + b"\nendstream")
+    assert (title, author, pages) == ("äbc", "a (b) a", 2) and scan._pdf(b"no pdf")[3] is None
     side = {r.path.rsplit("/", 1)[1]: r.sidecars for r in scan.sidecars(got.where("path like '%.txt'"), got).collect()}
     assert side["b.txt"] == [str((tmp_path / "sub/b.xmp").resolve())] and side["c.txt"] == []
 
@@ -219,24 +265,31 @@ def test_reports(spark):
     assert [r.reversible for r in reports.undo_lines(a).collect()] == [True, False, True]
 
 
+WATCHED = "path string, duration double, width int, height int, file_size long, mtime double"
+
+
 def test_watch_finds_copies_within_and_across_batches(spark, tmp_path):
-    schema = "path string, duration double, file_size long, mtime double"
-    put = lambda n, rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    run = lambda: watch.watch(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "known"), str(tmp_path / "alerts"), str(tmp_path / "state")).awaitTermination()
+    put = lambda n, rows: spark.createDataFrame([(p, d, 10, 10, s, m) for p, d, s, m in rows], WATCHED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: watch.watch(spark.readStream.schema(WATCHED).parquet(str(tmp_path / "in")), str(tmp_path / "known"), str(tmp_path / "alerts"), str(tmp_path / "state")).awaitTermination()
     put(0, [("/a/clip.mp4", 60.0, 100, 1.0), ("/b/clip.mp4", 60.5, 100, 1.0), ("/c/other thing.mp3", 60.0, 100, 1.0)])
     run()
     put(1, [("/d/clip1.mp4", 61.0, 100, 1.0), ("/a/clip.mp4", 60.0, 100, 1.0)])
     run()
     got = {(r.path, r.match) for r in spark.read.parquet(str(tmp_path / "alerts")).collect()}
     assert got == {("/b/clip.mp4", "/a/clip.mp4"), ("/d/clip1.mp4", "/a/clip.mp4"), ("/d/clip1.mp4", "/b/clip.mp4")}
-
-
-def test_alerts_let_one_unknown_duration_pass(spark):
-    schema = "path string, duration double, file_size long, mtime double"
-    new = spark.createDataFrame([("/a/holiday clip.mp4", None, 100, 1.0), ("/a/garden.mp4", 60.0, 100, 1.0), ("/a/short.mp4", 1.0, 100, 1.0)], schema)
-    known = spark.createDataFrame([("/b/holiday clip2.mp4", 61.0, 100, 1.0), ("/b/garden.mp4", None, 100, 1.0), ("/b/garden.mp3", None, 100, 1.0), ("/b/short.mp4", None, 100, 1.0), ("/c/garden.mp4", 90.0, 100, 1.0)], schema)
-    got = sorted((r.path, r.match) for r in watch.alerts(new, known).collect())
-    assert got == [("/a/garden.mp4", "/b/garden.mp4"), ("/a/holiday clip.mp4", "/b/holiday clip2.mp4"), ("/a/short.mp4", "/b/short.mp4")]
+    (tmp_path / "known/batch=0").joinpath("broken.parquet").write_text("no parquet")
+    put(2, [("/e/clip.mp4", 60.0, 100, 1.0)])
+    with pytest.raises(Exception):  # noqa: B017  known files that can't be read don't count as none
+        run()
+
+
+def test_alerts_count_unknown_aspects_as_zero(spark):
+    new = [("/a/holiday clip.mp4", None, 10, 10, 100, 1.0), ("/a/garden.png", None, None, None, 100, 1.0), ("/a/lake.png", None, 10, 10, 0, 1.0), ("/a/x.md", None, None, None, 100, 1.0)]
+    known = [("/b/holiday clip.mp4", 61.0, 10, 10, 100, 1.0), ("/b/garden.png", None, 10, 10, 100, 1.0), ("/b/lake.png", None, 10, 10, 0, 1.0), ("/b/lake.mp3", None, 10, 10, 0, 1.0), ("/b/x.md", None, None, None, 80, 1.0), (None, 1.0, 1, 1, 1, 1.0)]
+    df = lambda rows: spark.createDataFrame(rows, WATCHED)
+    run = lambda t: {(r.path, r.match): r.score for r in watch.alerts(df(new), df(known), t).collect()}
+    assert run(85.0) == {("/a/lake.png", "/b/lake.png"): 100, ("/a/x.md", "/b/x.md"): 93}
+    assert run(60.0) == {("/a/holiday clip.mp4", "/b/holiday clip.mp4"): 65, ("/a/garden.png", "/b/garden.png"): 67, ("/a/lake.png", "/b/lake.png"): 100, ("/a/x.md", "/b/x.md"): 93}
 
 
 def test_renames(spark):
