@@ -1,23 +1,28 @@
 """Most similar vectors for every vector.
 
-A hierarchical k-means tree is fitted on a bounded sample; every vector goes to its nearest leaf. A query walks the tree
-best bin first through a priority queue and visits as many leaves as a calibration against brute force found necessary.
-Leaves are cut into blocks, so a leaf that holds a third of all vectors is spread over many tasks of bounded size, each
-a dense matrix product. Equal vectors are searched once and expanded again at the end.
+A hierarchical k-means tree is fitted on a bounded sample; every vector goes to its nearest leaf. Leaves that hold more than
+a block are split further by subtrees fitted where their vectors are, level by level, so that leaves stay small however many
+vectors there are; only a leaf that no split would tighten stays whole. A query walks the tree best bin first through a
+priority queue and visits the leaves that a calibration against brute force found necessary; as a pair is looked at from both
+sides, it is enough that one of the two visits the other's leaf. Whole leaves are cut into blocks, so that one with a third of
+all vectors is spread over many tasks of bounded size, each a dense matrix product. Equal vectors are searched once and
+expanded again at the end.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from echofold.session import cut
+
 
 @dataclass
 class Tree:
@@ -64,7 +69,7 @@ def _gain(x: np.ndarray, k: int, rng: np.random.Generator) -> float:
     return 1 - float((1 - (held @ c.T).max(1)).mean()) / max(before, 1e-9)
 
 
-def fit_tree(sample: np.ndarray, branching: int = 16, least: int = 24, tight: float = 0.7, gain: float = 0.15, seed: int = 7) -> Tree:
+def fit_tree(sample: np.ndarray, branching: int = 16, least: int = 100, tight: float = 0.7, gain: float = 0.15, seed: int = 7) -> Tree:
     """A tree on the unit rows of `sample`.
 
     A node is split while it has `least` rows or more, unless it is tight (mean cosine to its centre of `tight` or more)
@@ -91,27 +96,35 @@ def fit_tree(sample: np.ndarray, branching: int = 16, least: int = 24, tight: fl
     return Tree(np.stack(centres).astype(np.float32), children)
 
 
-def best_bins(tree: Tree, x: np.ndarray, margin: float) -> list[list[int]]:
-    """The leaves that each row of x visits, best bin first: the nearest open node is opened next, whatever its level, until it is farther than the first leaf by more than `margin` of cosine."""
+def best_bins(tree: Tree, x: np.ndarray, bound: float = np.inf) -> list[list[int]]:
+    """The leaves that each row of x visits, best bin first: the nearest open node is opened next, whatever its level; after the first leaf only while its similarity is `bound` or more."""
     near = x @ tree.centres.T
     out = []
     for s in near.tolist():
-        heap, found, bound = [(0.0, 0)], [], np.inf
+        heap, found = [(0.0, 0)], []
         while heap:
             d, node = heapq.heappop(heap)
-            if d > bound:
+            if found and -d < bound:
                 break
             if tree.children[node]:
                 for c in tree.children[node]:
                     heapq.heappush(heap, (-s[c], c))
             else:
-                if not found:
-                    bound = d + margin
                 found.append(node)
         out.append(found)
     return out
 
 
+def reach(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """(rows, nodes): the least similarity of each row of x to the nodes on the way to a node, which best_bins has to open all."""
+    out = x @ tree.centres.T
+    for node, children in enumerate(tree.children):  # parents come before their children
+        if node:
+            for c in children:
+                np.minimum(out[:, c], out[:, node], out=out[:, c])
+    return out
+
+
 def _matrix(values: pd.Series, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float32).reshape(-1, dims)
 
@@ -135,11 +148,12 @@ def unit_vectors(rows: DataFrame, dims: int) -> DataFrame:
 
 
 def _calibrate(vectors: DataFrame, tree: Tree, probes: np.ndarray, ids: list[str], dims: int, k: int, least: float, recall: float) -> float:
-    """The smallest margin of best_bins that finds `recall` of the probes' true neighbours, by brute force over all vectors."""
-    shared = vectors.sparkSession.sparkContext.broadcast((tree, probes, ids))
+    """The greatest bound of best_bins with which `recall` of the probes' true neighbours are met from either side, by brute force over all vectors."""
+    home = [b[0] for b in best_bins(tree, probes)]
+    shared = vectors.sparkSession.sparkContext.broadcast((tree, probes, ids, home))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t, p, own = shared.value
+        t, p, own, leaves = shared.value
         for batch in batches:
             if not len(batch):
                 continue
@@ -147,90 +161,138 @@ def _calibrate(vectors: DataFrame, tree: Tree, probes: np.ndarray, ids: list[str
             s = p @ x.T
             s[pd.Series(own).to_numpy()[:, None] == batch["id"].to_numpy()[None, :]] = -2
             top = np.argpartition(-s, min(k, len(x)) - 1, axis=1)[:, :k]
-            leaf = np.array([b[0] for b in best_bins(t, x, 0.0)])
-            q = np.repeat(np.arange(len(p)), top.shape[1])
-            c = top.ravel()
-            keep = s[q, c] >= least
-            yield pd.DataFrame({"q": q[keep], "s": s[q, c][keep].astype(float), "leaf": leaf[c][keep]})
-
-    found = vectors.select("id", "vec").mapInPandas(run, "q int, s double, leaf int")
+            leaf = np.array([b[0] for b in best_bins(t, x)])
+            q, c = np.repeat(np.arange(len(p)), top.shape[1]), top.ravel()
+            q, c = q[s[q, c] >= least], c[s[q, c] >= least]
+            homes = np.array(leaves)[q]
+            there, back = reach(t, p)[q, leaf[c]], reach(t, x[c])[np.arange(len(c)), homes]
+            met = np.where(leaf[c] == homes, 1.0, np.maximum(there, back))
+            yield pd.DataFrame({"q": q.astype(np.int32), "s": s[q, c].astype(float), "met": met.astype(float)})
+
+    found = vectors.select("id", "vec").mapInPandas(run, "q int, s double, met double")
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("r") <= k)
-    truth = found.select("q", "leaf").toPandas()  # at most k rows a probe
-    if not len(truth):
-        return 0.0
-    near = probes @ tree.centres.T
-    first = np.array([near[q, b[0]] for q, b in enumerate(best_bins(tree, probes, 0.0))])
-    q = truth["q"].to_numpy()
-    return float(np.quantile(np.maximum(first[q] - near[q, truth["leaf"].to_numpy()], 0), recall)) + 1e-6
+    met = [r["met"] for r in found.select("met").collect()]  # at most k rows a probe
+    shared.unpersist()
+    return float(np.quantile(met, 1 - recall)) - 1e-6 if met else 1.0
+
+
+def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """`df`, hinted to be broadcast where it has at most `most` rows of a few bytes."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _split(rows: DataFrame, trees: DataFrame, dims: int, bound: float, parts: int) -> DataFrame:
+    """`rows` (id, vec, leaf) moved into the leaves of their leaf's subtree (leaf, tree); with a bound below that, into all that they visit. Rows of a leaf are spread over `parts` tasks, each with the subtree."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return a[["id", "vec", "leaf"]]
+        t = pickle.loads(b["tree"].iloc[0])
+        bins = best_bins(t, _matrix(a["vec"], dims), bound)
+        out = a[["id", "vec", "leaf"]].assign(sub=bins).explode("sub")
+        return out.assign(leaf=out["leaf"] + "/" + out["sub"].astype(str))[["id", "vec", "leaf"]]
+
+    left = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    right = trees.select(F.col("leaf").alias("l2"), "tree", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("p2"))
+    return left.groupBy("leaf", "part").cogroup(right.groupBy("l2", "p2")).applyInPandas(run, "id string, vec binary, leaf string")
 
 
 def most_similar(
-    rows: DataFrame, k: int = 10, least: float = 0.62, dims: int = 512, recall: float = 0.99, sample: int = 10_000, probes: int = 256, block: int = 8192
+    rows: DataFrame, k: int = 10, least: float = 0.62, dims: int = 512, recall: float = 0.995, sample: int = 10_000, probes: int = 256, block: int = 8192
 ) -> DataFrame:
     """(path, other, cosine, rank): for each path of `rows` (path, mtime, embedding) its k most similar other paths of cosine >= least.
 
-    Greatest cosine first, equal ones by smaller path. The tree is fitted on at most about `sample` vectors, the number
-    of leaf visits on `probes` of them, against brute force over all; every vector is indexed and queried. Equal vectors
-    are equally similar (1.0). Null paths and unusable vectors take no part; repeated rows count once; empty tables give
-    no rows.
+    Greatest cosine first, equal ones by smaller path. The tree is fitted on at most about `sample` vectors (subtrees on as
+    many of their leaf), the bound of leaf visits on about `probes` others, against brute force over all; every vector is
+    indexed and queried. Equal vectors are equally similar (1.0). Null paths and unusable vectors take no part; repeated rows
+    count once; empty tables give no rows.
     """
     spark = rows.sparkSession
-    named = unit_vectors(rows, dims).withColumn("id", F.md5("vec")).persist(StorageLevel.DISK_ONLY)
-    members = named.select("id", "path").distinct()
-    vectors = named.groupBy("id").agg(F.first("vec").alias("vec"), F.min("path").alias("path")).persist(StorageLevel.DISK_ONLY)
+    named = unit_vectors(rows, dims).withColumn("id", F.md5("vec"))
+    vectors = cut(named.groupBy("id").agg(F.first("vec").alias("vec")))
+    members = cut(named.select("id", "path").distinct())
     n = vectors.count()
-    share = min(1.0, sample / max(n, 1))
-    chosen = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("id", "vec").toPandas()  # about `sample` rows
-    if not len(chosen):
-        chosen = vectors.select("id", "vec").limit(sample).toPandas()
-    if not len(chosen):
-        return spark.createDataFrame([], "path string, other string, cosine double, rank int")
-    chosen = chosen.sort_values("id").reset_index(drop=True)
-    x = _matrix(chosen["vec"], dims)
-    tree = fit_tree(x)
-    pick = np.linspace(0, len(x) - 1, min(probes, len(x))).astype(int)
-    margin = _calibrate(vectors, tree, x[pick], chosen["id"].iloc[pick].tolist(), dims, k, least, recall)
+    empty = spark.createDataFrame([], "path string, other string, cosine double, rank int")
+    if not n:
+        return empty
+    draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000_000))
+    share = lambda m: int(min(1.0, m / n) * 1_000_000_000)
+    probed = (draw(1) < share(min(probes, n / 4))).alias("probed")
+    chosen = vectors.where((draw(2) < share(sample)) | probed).select("id", "vec", probed).toPandas()  # about sample + probes rows
+    fitted, asked_for = chosen[~chosen["probed"]], chosen[chosen["probed"]]
+    if len(fitted) < 2 or not len(asked_for):
+        fitted = asked_for = vectors.select("id", "vec").orderBy("id").limit(sample).toPandas()
+    fitted, asked_for = fitted.sort_values("id"), asked_for.sort_values("id")
+    tree = fit_tree(_matrix(fitted["vec"], dims))
+    bound = _calibrate(vectors, tree, _matrix(asked_for["vec"], dims), asked_for["id"].tolist(), dims, k, least, recall)
+    del chosen, fitted
     shared = spark.sparkContext.broadcast(tree)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                bins = best_bins(shared.value, _matrix(batch["vec"], dims), margin)
-                yield batch.assign(leaf=[b[0] for b in bins], visits=bins)
-
-    placed = vectors.select("id", "vec").mapInPandas(assign, "id string, vec binary, leaf int, visits array<int>").persist(StorageLevel.DISK_ONLY)
-    asked = placed.select("id", "vec", F.explode("visits").alias("leaf"))
-    # one row a leaf, and there are fewer leaves than sampled rows
-    filled = {r["leaf"]: -(-r["count"] // block) for r in placed.groupBy("leaf").count().collect()}
-    asking = {r["leaf"]: -(-r["count"] // block) for r in placed.select(F.explode("visits").alias("leaf")).groupBy("leaf").count().collect() if r["leaf"] in filled}
-    if not asking:
-        return spark.createDataFrame([], "path string, other string, cosine double, rank int")
-    as_map = lambda m: F.create_map(*[F.lit(v).cast("int") for kv in m.items() for v in kv])
-    parts, turns = as_map(filled)[F.col("leaf")], as_map(asking)[F.col("leaf")]
-    part_of = lambda seed, count: F.pmod(F.xxhash64(F.lit(seed), "id"), count).cast("int")
-    left = asked.where(parts.isNotNull()).select("id", "vec", "leaf", part_of(1, turns).alias("turn"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    right = placed.where(turns.isNotNull()).select(F.col("id").alias("cid"), F.col("vec").alias("cvec"), F.col("leaf").alias("cleaf"), part_of(2, parts).alias("cpart"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("cturn"))
+    def assign(wide: float):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield batch.assign(leaf=best_bins(shared.value, _matrix(batch["vec"], dims), wide)).explode("leaf").astype({"leaf": str})
+
+        return vectors.mapInPandas(run, "id string, vec binary, leaf string")
+
+    placed, asked, whole = assign(np.inf), assign(bound), None
+    while True:  # a level of the tree; each leaves leaves of a block at most, or such as no split would tighten
+        counts = cut(placed.groupBy("leaf").count())
+        large = counts.where(F.col("count") > block)
+        large = large.join(whole, "leaf", "left_anti") if whole is not None else large
+        if not large.limit(1).count():
+            break
+        large = _small(large)
+        some = placed.join(large, "leaf").where(draw(3) < (F.lit(float(sample)) / F.col("count") * 1_000_000_000)).select("leaf", "vec")
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            t = fit_tree(_matrix(pdf["vec"], dims))
+            return pd.DataFrame({"leaf": pdf["leaf"].iloc[:1], "tree": [pickle.dumps(t)], "n": [len(t.leaves)]})
+
+        trees = cut(some.groupBy("leaf").applyInPandas(fit, "leaf string, tree binary, n int"))
+        stay = trees.where("n < 2").select("leaf")
+        whole = cut(stay if whole is None else whole.unionByName(stay))
+        trees = trees.where("n >= 2")
+        if not trees.limit(1).count():
+            break
+        parts = 16
+        old, split = _small(trees.select("leaf")), trees
+        rest = lambda df, old=old: df.join(old, "leaf", "left_anti")
+        into = lambda df, wide, old=old, split=split: _split(df.join(old, "leaf", "left_semi"), split, dims, wide, parts)
+        placed, asked = cut(rest(placed).unionByName(into(placed, np.inf))), cut(rest(asked).unionByName(into(asked, bound)))
+    blocks = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    cells = _small(blocks(placed, "parts").join(blocks(asked.select("leaf"), "turns"), "leaf"))
+    part_of = lambda seed, count: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = asked.join(cells, "leaf").select("id", "vec", "leaf", part_of(1, "turns").alias("turn"), every("parts").alias("part"))
+    right = placed.join(cells, "leaf").select(F.col("id").alias("cid"), F.col("vec").alias("cvec"), F.col("leaf").alias("cleaf"), part_of(2, "parts").alias("cpart"), every("turns").alias("cturn"))
 
     def match(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
+
+        def keep(s: np.ndarray, mine: np.ndarray, others: np.ndarray) -> None:
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
+            i, j = np.repeat(np.arange(len(s)), top.shape[1]), top.ravel()
+            ok = s[i, j] >= least
+            out.append(pd.DataFrame({"id": mine[i[ok]], "near": others[j[ok]], "cosine": s[i[ok], j[ok]].astype(float)}))
+
         if len(q) and len(c):
-            y, ids, qid = _matrix(c["cvec"], dims), c["cid"].to_numpy(), q["id"].to_numpy()
-            place = pd.Series(np.arange(len(ids)), index=ids)
-            own = place.reindex(qid).fillna(-1).to_numpy().astype(int)
-            z = _matrix(q["vec"], dims)
+            y, ids, qid, z = _matrix(c["cvec"], dims), c["cid"].to_numpy(), q["id"].to_numpy(), _matrix(q["vec"], dims)
+            own = pd.Series(np.arange(len(ids)), index=ids).reindex(qid).fillna(-1).to_numpy().astype(int)
             for at in range(0, len(z), 1024):
                 s = z[at : at + 1024] @ y.T
                 r = np.flatnonzero(own[at : at + 1024] >= 0)
                 s[r, own[at : at + 1024][r]] = -2
-                top = np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
-                rr = np.repeat(np.arange(len(s)), top.shape[1])
-                cc = top.ravel()
-                v = s[rr, cc]
-                ok = v >= least
-                out.append(pd.DataFrame({"id": qid[at + rr[ok]], "near": ids[cc[ok]], "cosine": v[ok].astype(float)}))
+                keep(s, qid[at : at + 1024], ids)
+                guests = np.flatnonzero(own[at : at + 1024] < 0)  # those that live here are asked for on their own
+                if len(guests):
+                    keep(np.ascontiguousarray(s[guests].T), ids, qid[at : at + 1024][guests])
         return pd.concat(out) if out else pd.DataFrame({"id": [], "near": [], "cosine": []})
 
     near = left.groupBy("leaf", "part", "turn").cogroup(right.groupBy("cleaf", "cpart", "cturn")).applyInPandas(match, "id string, near string, cosine double")
+    near = near.groupBy("id", "near").agg(F.max("cosine").alias("cosine"))
     best = lambda df, key, order, most: df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= most)
     near = best(near, "id", [F.desc("cosine"), "near"], k).drop("rank")
     # at most k + 1 smallest paths of each set of equal vectors, salted so that a large set is cut down in many tasks

@@ -215,6 +215,9 @@ def test_neighbours_against_brute_force(spark):
         true |= {tuple(sorted((f"p{i:03}", f"p{j:03}"))) for j in near if s[i, j] >= 0.62}
     assert len(got & true) >= 0.95 * len(true) and len(got & true) >= 0.95 * len(got)
     assert neighbours.found_pairs(df.limit(0), dims=16).count() == 0
+    # leaves beyond a block are split where they are, and cut into blocks where no split helps
+    got = {(r.path_a, r.path_b) for r in neighbours.found_pairs(df, dims=16, sample=30, probes=30, block=8).collect()}
+    assert len(got & true) >= 0.9 * len(true) and len(got & true) >= 0.9 * len(got)
 
 
 def flip(v, share, rng, word):
