@@ -3,8 +3,10 @@
 Rake and compress: vertices of degree one are stripped round after round, chains of vertices of degree two are
 replaced by one edge (list ranking by pointer doubling finds their ends), the remaining core is solved by alternating
 large-star and small-star steps, and the removed vertices then take the label of the vertex they hung on, in reverse
-order. All joins are on unique keys (vertices or vertex pairs), so a hub never gathers its edges in one task; vertices
-are 64-bit hashes of their names, checked for collisions.
+order. One side of each join has one row a vertex (or pair), so a hub's edges, leaves and labels don't multiply; they do
+share a partition of the other side, which adaptive execution cuts up where it is skewed, as no later step needs that
+partitioning. Degrees and labels are aggregated before they are shuffled. Vertices are 64-bit hashes of their names, checked
+for collisions.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ new containers. The plan says which ranks of which length go where; items find t
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -16,12 +17,16 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofold.session import cut
 
+#: Where the vocabulary lies on the driver unless the session's spark.echofold.tokenizer names another file; it is shipped with the job.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Items of one length that are ranked together.
+CHUNK = 50_000
 # Fixed value: how that tokenizer's vocabulary cuts texts before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -35,11 +40,15 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) of each row of `documents` (doc_id, text); null and empty texts have 0."""
+    spark = documents.sparkSession
+    tokenizer = tokenizer or spark.conf.get("spark.echofold.tokenizer", TOKENIZER)
+    spark.sparkContext.addFile(tokenizer)
+    file = os.path.basename(tokenizer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(SparkFiles.get(file)).encode_ordinary
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(encode(t)) if t else 0 for t in batch["text"]]})
 
@@ -169,8 +178,8 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
     line = dict(zip(sorted(counts), np.cumsum([0, *[counts[k] for k in sorted(counts)]])[:-1].tolist(), strict=True)) if counts else {}
     at = np.array([line[k] for k in lengths.tolist()], np.int64) + first if len(lengths) else first
     shared = spark.sparkContext.broadcast((at, times, bases, line))
-    chunks = max(1, sum(counts.values()) // 50_000)
-    own = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)))
+    chunks = spark.createDataFrame([(k, max(1, n // CHUNK)) for k, n in counts.items()], "length int, chunks int")  # a row a length
+    own = pieces.join(F.broadcast(chunks), "length").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.col("chunks"))).drop("chunks")
     before = own.groupBy("length", "chunk").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
     ranked = own.withColumn("k", F.row_number().over(Window.partitionBy("length", "chunk").orderBy("doc_id", "piece")) - 1).join(before, ["length", "chunk"])
 

@@ -107,6 +107,29 @@ def test_leaks_need_twelve_words(spark, monkeypatch, joined):
     assert leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string, e string"), none).count() == 0
 
 
+@pytest.mark.parametrize("joined", [False, True])
+def test_near_leaks_by_weighted_shingles(spark, monkeypatch, joined):
+    if joined:
+        monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 0)
+    rng = random.Random(2)
+    vocabulary = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("ado", "eki", "ilu", "opa", "uvo")]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(40))) for i in range(20)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        w[20] = "changed"  # 19 windows of 12 words stay, ten hold the change
+        docs.append((i, " ".join(w)))
+        docs.append((100 + i, " ".join(x if k % 11 else "other" for k, x in enumerate(w))))  # no window stays
+    df = lambda rows, c: spark.createDataFrame(rows, f"{c} long, text string")
+    exact = {(r.doc_id, r.item_id) for r in leakage.leaks(df(docs, "doc_id"), df(items, "item_id")).collect()}
+    assert exact == {(i, i) for i in range(20)}
+    near = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in leakage.leaks(df(docs, "doc_id"), df(items, "item_id"), radius=5, similarity=0.6).collect()}
+    found = {p for p in near if p[0] >= 100}
+    assert exact <= set(near) and len(found) >= 10 and all(d - 100 == i for d, i in found)
+    test_near_leaks_by_weighted_shingles.seen = getattr(test_near_leaks_by_weighted_shingles, "seen", near)
+    assert near == test_near_leaks_by_weighted_shingles.seen  # one verifier: the same answers either way
+
+
 def test_simhash_windows_equal_a_plain_count():
     h = np.random.default_rng(1).integers(0, 1 << 63, 40, dtype=np.int64).view(np.uint64)
     got = leakage.window_simhashes(h, 12)
