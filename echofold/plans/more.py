@@ -299,7 +299,7 @@ SELECT l.path, array_to_string(list_sort(coalesce(sides, [])), ',') AS sidecars
 def s18_found_sidecars(spark, d):
     """Sidecars found anew beside each file, in an inventory of all paths and of the sidecars known before."""
     own = _latest(spark, d)
-    inventory = own.select("path").unionByName(own.select(F.explode("sidecars").alias("path"))).distinct()
+    inventory = own.select(F.explode(F.concat(F.array("path"), F.coalesce("sidecars", F.array().cast("array<string>")))).alias("path"))
     return scan.sidecars(own, inventory).select("path", F.array_join("sidecars", ",").alias("sidecars"))
 
 

@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echofold.functions import names
@@ -84,12 +84,16 @@ def sorted_scan(files: DataFrame) -> DataFrame:
 
 def sidecars(files: DataFrame, inventory: DataFrame, extensions: Iterable[str] = (".xmp", ".aae", ".thm", ".json")) -> DataFrame:
     """(path, sidecars): for each file the entries of the inventory (path) beside it named stem+ext or full name+ext, or stem.lrdata; [] for none."""
-    base = F.concat(names.parent(F.col("path")), F.lit("/"))
-    guesses = [F.concat(base, n, F.lit(e)) for n in (names.stem(F.col("path")), names.basename(F.col("path"))) for x in extensions for e in (x.lower(), x.upper())]
-    guesses.append(F.concat(base, names.stem(F.col("path")), F.lit(".lrdata")))
-    wanted = files.select("path", F.explode(F.array_distinct(F.array(*guesses))).alias("side"))
-    there = wanted.join(inventory.select(F.col("path").alias("side")).distinct(), "side").where("side <> path").groupBy("path").agg(F.array_sort(F.collect_set("side")).alias("sidecars"))
-    return files.select("path").distinct().join(there, "path", "left").select("path", F.coalesce("sidecars", F.array().cast("array<string>")).alias("sidecars"))
+    told = files.select("path", names.parent(F.col("path")).alias("_parent"), names.stem(F.col("path")).alias("_stem"), names.basename(F.col("path")).alias("_base"))
+    key = lambda n, stem: F.struct(F.concat("_parent", F.lit("/"), n).alias("key"), F.lit(stem).alias("stem"))
+    wanted = told.select("path", F.explode(F.array(key("_stem", True), key("_base", False))).alias("k")).select("path", "k.*", F.lit(None).cast("string").alias("side"), F.lit(True).alias("file"))
+    ends = sorted({e for x in extensions for e in (x.lower(), x.upper())} | {".lrdata"})
+    cut_off = F.filter(F.array(*[F.when(F.col("path").endswith(e), F.substring("path", 1, F.length("path") - len(e))) for e in ends]), lambda k: k.isNotNull())
+    there = inventory.select(F.col("path").alias("side"), F.explode(cut_off).alias("key")).select(F.lit(None).cast("string").alias("path"), "key", F.lit(None).cast("boolean").alias("stem"), "side", F.lit(False).alias("file"))
+    # files and sidecars meet in one window over the name, which has a side for each ending at most: a join would broadcast one of the two, both of which grow with the files
+    met = wanted.unionByName(there).withColumn("sides", F.collect_set("side").over(Window.partitionBy("key"))).where("file")
+    own = F.filter("sides", lambda x: (x != F.col("path")) & (F.col("stem") | ~x.endswith(".lrdata")))
+    return met.groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(own)))).alias("sidecars"))
 
 
 def pdf_date(c: Column) -> Column:

@@ -242,6 +242,14 @@ def test_sources(spark, tmp_path):
     assert side["b.txt"] == [str((tmp_path / "sub/b.xmp").resolve())] and side["c.txt"] == []
 
 
+def test_sidecars_need_no_join(spark):
+    own = spark.createDataFrame([("/a/x.mp4",), ("/a/x.mp4.xmp",), ("/a/x.xmp",), ("/b/y.mp4",), (None,)], "path string")
+    got = scan.sidecars(own, own.unionByName(spark.createDataFrame([("/a/x.xmp",), ("/a/x.lrdata",), ("/c/y.xmp",)], "path string")))
+    want = ["/a/x.lrdata", "/a/x.mp4.xmp", "/a/x.xmp"]
+    assert sorted(((r.path or "", r.sidecars) for r in got.collect())) == [("", []), ("/a/x.mp4", want), ("/a/x.mp4.xmp", []), ("/a/x.xmp", ["/a/x.lrdata"]), ("/b/y.mp4", [])]
+    assert "Join" not in got._jdf.queryExecution().toString()  # nothing that a driver would have to broadcast
+
+
 def test_logs_lists_and_envelopes(spark, tmp_path):
     (tmp_path / "log").write_text('{"action":"moved","path":"/a"}\n\nnonsense\n{"path":"/b"}\n{"action":"moved","path":"/c","dry_run":true}\n[1]\n')
     actions, counts = scan.read_actions(spark, str(tmp_path / "log"))
