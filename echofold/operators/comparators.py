@@ -86,10 +86,16 @@ def document() -> Column:
     return weighted([(0.45, names.ratio(*_both("doc_title"))), (0.35, names.ratio(*_both("doc_author"))), (0.20, when)])
 
 
-def directory() -> Column:
-    """1.0 for one directory, 0 where only the root is shared, else less by a fifth for each level of the deeper one below what is shared."""
-    p, q = (F.filter(F.split(names.parent(F.col(f"{s}.path")), "/"), lambda x: x != "") for s in "ab")
-    shared = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.size(p), F.size(q)), F.lit(1))), F.lit(0), lambda n, i: F.when((n == i - 1) & F.coalesce(F.get(p, i - 1) == F.get(q, i - 1), F.lit(False)), i).otherwise(n))
+def directories(path: Column) -> Column:
+    """The folders a path lies in, from the root down, each with those above it."""
+    parts = F.filter(F.split(names.parent(path), "/"), lambda x: x != "")
+    return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
+
+
+def directory(split: bool = False) -> Column:
+    """1.0 for one directory, 0 where only the root is shared, else less by a fifth for each level of the deeper one below what is shared. `split`: a and b have their `directories` as a field."""
+    p, q = (F.col(f"{s}.directories") if split else directories(F.col(f"{s}.path")) for s in "ab")
+    shared = F.size(F.array_intersect(p, q))
     deep = F.greatest(F.size(p), F.size(q)) - shared
     return F.when(p == q, 1.0).when(shared == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - deep / F.lit(5.0)))
 
@@ -102,9 +108,13 @@ def filename_exclusion() -> Column:
     return (x == "") | (y == "") | ids | series
 
 
+#: Ratio from which names with words of their own still count as alike.
+READ_ALIKE = 0.85
+
+
 def filename(ratio: Column) -> Column:
     """From the ratio of the sorted words: 0 where the names exclude each other, or read moderately alike and each has a word of its own."""
     x, y = (F.split(c, " ") for c in _both("name"))
     word = lambda t: (F.length(t) >= 3) & t.rlike(r"^\p{L}+$")
     own = F.exists(F.array_except(x, y), word) & F.exists(F.array_except(y, x), word)
-    return F.when(filename_exclusion() | ((ratio < 0.85) & own), 0.0).otherwise(ratio)
+    return F.when(filename_exclusion() | ((ratio < READ_ALIKE) & own), 0.0).otherwise(ratio)

@@ -73,13 +73,13 @@ def prepared(files: DataFrame) -> DataFrame:
 BLOCK = 2_000
 
 
-def bucket_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub"), block: int = BLOCK) -> DataFrame:
-    """(path_a, path_b), path_a < path_b: all pairs within a bucket.
+def bucket_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub"), block: int = BLOCK, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(path_a, path_b), path_a < path_b: all pairs within a bucket; with `carried`, structs a and b of these columns as well, so that pairs need no join to get them.
 
     A bucket of more than `block` files, that of unknown values for one, is cut into blocks by hash, and each block is joined
     with each: so no task holds more than two blocks, and every pair still meets once.
     """
-    thin = bucketed.select("path", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]).alias("_key"), *[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
+    thin = bucketed.select("path", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]).alias("_key"), *[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_own_{c}") for c in carried])
     large = cut(thin.groupBy("_key").count().where(F.col("count") > block).select("_key", F.ceil(F.col("count") / block).cast("int").alias("_n")))
     thin = thin.join(large, "_key", "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_b", F.pmod(F.xxhash64("path"), F.col("_n")).cast("int"))
     # a block meets itself and those after it as the left side, and those before it as the right side
@@ -88,7 +88,8 @@ def bucket_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub"),
     same = (F.col("a._key") == F.col("b._key")) & (F.col("a._b") == F.col("b._with")) & (F.col("a._with") == F.col("b._b"))
     for i in range(len(keys)):
         same = same & F.col(f"a._{i}").eqNullSafe(F.col(f"b._{i}"))
-    return a.join(b, same & (F.col("a.path") < F.col("b.path"))).select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"))
+    sides = [F.struct(F.col(f"{s}.path"), *[F.col(f"{s}._own_{c}").alias(c) for c in carried]).alias(s) for s in "ab"] if carried else []
+    return a.join(b, same & (F.col("a.path") < F.col("b.path"))).select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"), *sides)
 
 
 def similar_names(files: DataFrame, least: float = 0.8) -> DataFrame:

@@ -141,7 +141,9 @@ def _audio(spark, d):
 
 
 def _audio_pairs(spark, d):
-    return scoring.attach(scoring.bucket_pairs(blocking.anchored_buckets(_audio(spark, d), "duration"), ("bucket",)), _audio(spark, d))
+    """Pairs with what the native comparators look at, carried along by the join within buckets."""
+    own = blocking.anchored_buckets(_audio(spark, d), "duration").withColumn("directories", comparators.directories(F.col("path")))
+    return scoring.bucket_pairs(own, ("bucket",), carried=("duration", "file_size", "directories"))
 
 
 @query
@@ -196,7 +198,7 @@ def j13_time_windows(spark, d):
 # comparators and scores
 @query
 def c_native_comparators(spark, d):
-    shown = {"duration": comparators.duration(), "file_size": comparators.file_size(), "directory": comparators.directory()}
+    shown = {"duration": comparators.duration(), "file_size": comparators.file_size(), "directory": comparators.directory(split=True)}
     return _audio_pairs(spark, d).select("path_a", "path_b", *[F.round(c, 6).alias(k) for k, c in shown.items()])
 
 

@@ -155,6 +155,13 @@ def test_similar_names_lose_no_pair(spark):
     assert got == true
 
 
+def test_native_comparators_carry_what_they_compare(spark):
+    df = files(spark, {"path": "/a.mp3", "filename": "a", "duration": 1.0, "file_size": 5}, {"path": "/b.mp3", "filename": "b", "duration": 2.0})
+    got = scoring.bucket_pairs(df.withColumn("bucket", F.lit(1.0)), ("bucket",), carried=("duration", "file_size"))
+    assert [(r.path_a, r.a.duration, r.b.duration, r.a.file_size, r.b.file_size) for r in got.collect()] == [("/a.mp3", 1.0, 2.0, 5, 1000)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3  # the blocks of either side and their meeting
+
+
 def test_same_answer_for_any_number_of_partitions(spark):
     rows = [{"path": f"/{i}/clip {i % 3} of many.mp3", "filename": f"clip {i % 3} of many", "duration": float(i % 5)} for i in range(30)]
     answers = []
