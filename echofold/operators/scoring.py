@@ -6,10 +6,11 @@ import hashlib
 import json
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofold.functions import fingerprints, names
+from echofold.functions import alike, fingerprints, names
 from echofold.operators import blocking, comparators
 from echofold.session import cut, default_parallelism
 
@@ -92,34 +93,54 @@ def bucket_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub"),
     return a.join(b, same & (F.col("a.path") < F.col("b.path"))).select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"), *sides)
 
 
+#: Names that one task compares with as many others.
+NAMES = 8_192
+
+
+def _told(named: DataFrame, *more: str) -> DataFrame:
+    """What alike.near looks at."""
+    n = F.col("name")
+    return named.select(*more, "name", names.sorted_tokens(n).alias("words"), names.is_numeric_id(n).alias("id"), names.digits(n).alias("digits"), names.skeleton(n).alias("text"), F.array_join(names.digit_runs(n), " ").alias("runs"))
+
+
+def _near_names(rows: DataFrame, of: str, least: float, low: float | None = None, block: int = NAMES) -> DataFrame:
+    """(x, y): the values of `of` of two rows (of, _key, and those of _told) of one _key that alike.near finds, in either order, each two rows meeting once in blocks."""
+    parts = default_parallelism(rows.sparkSession)
+    counts = cut(rows.groupBy("_key").count().where("count > 1").select("_key", F.ceil(F.col("count") / block).cast("int").alias("_n")))
+    rows = rows.join(counts, "_key").withColumn("_b", F.pmod(F.xxhash64(of), F.col("_n")).cast("int"))
+    seen = ["_key", "_i", "_j", "_of", "name", "words", "id", "digits", "text", "runs"]
+    shown = lambda side: [F.col(of if c == "_of" else c).alias(f"{c}{side}") for c in seen]
+    # a fixed number of parts: few rows with much work must not be coalesced
+    left = rows.withColumn("_i", F.col("_b")).withColumn("_j", F.explode(F.sequence(F.col("_b"), F.col("_n") - 1))).select(*shown("a")).repartition(parts, "_keya", "_ia", "_ja")
+    right = rows.withColumn("_j", F.col("_b")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_b")))).select(*shown("b")).repartition(parts, "_keyb", "_ib", "_jb")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            a, b = a.set_axis(seen, axis=1), b.set_axis(seen, axis=1)
+            same = int(a["_i"].iloc[0]) == int(a["_j"].iloc[0])
+            b = a if same else b
+            out = [pd.DataFrame({"x": a["_of"].to_numpy()[i], "y": b["_of"].to_numpy()[j]}) for i, j in alike.near(a, b, same, least, low)]
+        return pd.concat(out) if out else pd.DataFrame({"x": [], "y": []}, dtype=object)
+
+    return left.groupBy("_keya", "_ia", "_ja").cogroup(right.groupBy("_keyb", "_ib", "_jb")).applyInPandas(run, "x string, y string")
+
+
+def gated_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub"), block: int = NAMES) -> DataFrame:
+    """(path_a, path_b), path_a < path_b: of the pairs within a bucket those that the file-name gate can let through, and those of equal names. Files without a name pair with none."""
+    key = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
+    rows = _told(bucketed.where("path is not null and name is not null").withColumn("_key", key), "path", "_key")
+    return _near_names(rows, "path", comparators.READ_ALIKE, GATE, block).select(F.least("x", "y").alias("path_a"), F.greatest("x", "y").alias("path_b"))
+
+
 def similar_names(files: DataFrame, least: float = 0.8) -> DataFrame:
     """(path_a, path_b): pairs whose sorted words are alike by `least`, from all files (path, name); names that exclude each other are left out.
 
-    Equal names are compared once. Where a string of length n becomes one of length m <= n by at most
-    d = (1 - least)(m + n) insertions and deletions, at least n + 1 - (3 d + n - m) / 2 of its padded pairs of letters
-    stay; so the prefixes of both, rarest pairs first, that leave fewer behind have a pair in common, and the join on
-    prefixes loses nothing.
+    Equal names are compared once, all distinct ones with all others, in blocks (alike.near), so nothing is lost.
     """
     own = files.select("path", "name", names.sorted_tokens(F.col("name")).alias("words")).where("words <> ''")
-    distinct = own.select("name", "words").distinct().withColumn("n", F.length("words"))
-    padded = F.concat(F.lit("\x01"), "words", F.lit("\x02"))
-    grams = distinct.select("name", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda k: F.substring(padded, k, F.lit(2)))).alias("g"))
-    numbered = grams.groupBy("name", "n", "g").agg(F.count("*").alias("k")).select("name", "n", F.explode(F.transform(F.sequence(F.lit(1), "k"), lambda i: F.concat(F.col("g"), i.cast("string")))).alias("g"))
-    df = numbered.groupBy("g").agg(F.count("*").alias("df"))
-    ordered = numbered.join(df, "g").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    # the longest prefix either side needs over all lengths of the other, of which the shorter is at least least / (2 - least) of the longer
-    q = least / (2 - least)
-    longer = (3 * (1 - least) * (1 + q) + 1 - q) / 2
-    equal = 3 * (1 - least)
-    keep = F.least(F.size("gs"), (F.floor(F.col("n") * max(longer, equal) + 1e-9) + 1).cast("int"))
-    told = [names.is_numeric_id(F.col("name")).alias("id"), names.digits(F.col("name")).alias("digits"), names.skeleton(F.col("name")).alias("text")]
-    prefix = ordered.select("name", "n", *told, F.explode(F.slice("gs", 1, keep)).alias("e")).select("name", "n", "id", "digits", "text", "e.g")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    possible = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * q - 1e-9) & ~F.expr("a.id and b.id and a.digits <> b.digits") & ~F.expr("a.text <> '' and a.text = b.text and a.digits <> b.digits")
-    met = a.join(b, F.expr("a.g = b.g and a.name < b.name") & possible).select(F.col("a.name").alias("x"), F.col("b.name").alias("y"))
-    met = met.repartition(default_parallelism(files.sparkSession), "x", "y").distinct()  # a fixed number: many short rows with costly work must not be coalesced, and the ratio must not move below the distinct
-    sorted_words = lambda c: names.sorted_tokens(F.col(c))
-    near = met.withColumn("r", names.ratio.asNondeterministic()(sorted_words("x"), sorted_words("y"))).where(F.col("r") >= least).select("x", "y")
+    distinct = cut(own.select("name").distinct())
+    near = _near_names(_told(distinct.withColumn("_key", F.lit("")), "_key"), "name", least)
     near = near.unionByName(distinct.select(F.col("name").alias("x"), F.col("name").alias("y")))
     left, right = own.select(F.col("path").alias("p"), F.col("name").alias("x")), own.select(F.col("path").alias("q"), F.col("name").alias("y"))
     pairs = near.join(left, "x").join(right, "y").where("p <> q and (x <> y or p < q)").select("p", "q", F.struct(F.col("x").alias("name")).alias("a"), F.struct(F.col("y").alias("name")).alias("b"))
@@ -253,7 +274,9 @@ def find_duplicates(
         bucketed = blocking.refined_buckets(bucketed, pair_limit)
     else:
         bucketed = blocking.refined_buckets(blocking.anchored_buckets(own, "page_count" if mode == "document" else "duration"), pair_limit)
-    pairs = bucket_pairs(bucketed)
+    # the gate drops what it can't let through before the pairs are made, unless content or bytes may stand in for the name
+    gated = weights.get("filename", 0) > 0 and not extra and sha256 is None
+    pairs = gated_pairs(bucketed) if gated else bucket_pairs(bucketed)
     if cross_names:
         pairs = candidates(pairs, similar_names(own.select("path", "name")))
     if "content" in extra:

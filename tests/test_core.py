@@ -155,6 +155,25 @@ def test_similar_names_lose_no_pair(spark):
     assert got == true
 
 
+def test_gate_within_buckets_loses_no_pair(spark):
+    rnd = random.Random(5)
+    words = ["harbour", "harbor", "lake", "copy", "final", "img", "dsc", "ab", "été", "12", "1234", "7", "x" * 70, "y" * 300]
+    rows = [(f"/{i:03}", " ".join(rnd.choice(words) + rnd.choice(["", "s", "1"]) for _ in range(rnd.randint(1, 3))), rnd.choice([None, 1.0, 2.0])) for i in range(150)] + [("/y", "", 1.0), ("/z", "", 1.0), ("/n", None, 1.0)]
+    df = spark.createDataFrame(rows, "path string, name string, bucket double")
+    both = scoring.attach(scoring.bucket_pairs(df, ("bucket",)), df)
+    value = F.col("a.name").eqNullSafe(F.col("b.name")) & F.col("a.name").isNotNull() | (comparators.filename(names.ratio(*[names.sorted_tokens(F.col(f"{s}.name")) for s in "ab"])) >= scoring.GATE)
+    true = {(r.path_a, r.path_b) for r in both.where(value).collect()}
+    for block in (16, 8192):
+        got = [(r.path_a, r.path_b) for r in scoring.gated_pairs(df, ("bucket",), block).collect()]
+        assert true <= set(got) and len(got) == len(set(got)) < both.count() / 2 and len(true) > 100
+
+
+def test_scored_buckets_shuffle_no_pairs_that_the_gate_drops(spark):
+    rows = [{"path": f"/{i}/{a}{b}.png", "filename": f"{a} {b}", "width": 10, "height": 10, "exif_camera": "c"} for i, (a, b) in enumerate((a, b) for a in ("harbour", "lake", "quarry", "violin") for b in ("red", "dusk", "moth", "upper", "jigsaw"))]
+    own = scoring.prepared(files(spark, *rows)).withColumn("bucket", F.lit("ld"))
+    assert scoring.gated_pairs(own, ("bucket",)).count() == 0 and scoring.bucket_pairs(own, ("bucket",)).count() == 190
+
+
 def test_native_comparators_carry_what_they_compare(spark):
     df = files(spark, {"path": "/a.mp3", "filename": "a", "duration": 1.0, "file_size": 5}, {"path": "/b.mp3", "filename": "b", "duration": 2.0})
     got = scoring.bucket_pairs(df.withColumn("bucket", F.lit(1.0)), ("bucket",), carried=("duration", "file_size"))
