@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,27 +104,46 @@ def _told(named: DataFrame, *more: str) -> DataFrame:
     return named.select(*more, "name", names.sorted_tokens(n).alias("words"), names.is_numeric_id(n).alias("id"), names.digits(n).alias("digits"), names.skeleton(n).alias("text"), F.array_join(names.digit_runs(n), " ").alias("runs"))
 
 
-def _near_names(rows: DataFrame, of: str, least: float, low: float | None = None, block: int = NAMES) -> DataFrame:
-    """(x, y): the values of `of` of two rows (of, _key, and those of _told) of one _key that alike.near finds, in either order, each two rows meeting once in blocks."""
+def in_blocks(rows: DataFrame, of: str, seen: list[str], look: Callable, out: str, block: int = NAMES, others: DataFrame | None = None) -> DataFrame:
+    """What look(a, b, same) yields (frames of `out`) of the rows (of, _key, seen) of one _key, each two meeting once in blocks; with `others`, of each row with each of those."""
     parts = default_parallelism(rows.sparkSession)
-    counts = cut(rows.groupBy("_key").count().where("count > 1").select("_key", F.ceil(F.col("count") / block).cast("int").alias("_n")))
-    rows = rows.join(counts, "_key").withColumn("_b", F.pmod(F.xxhash64(of), F.col("_n")).cast("int"))
-    seen = ["_key", "_i", "_j", "_of", "name", "words", "id", "digits", "text", "runs"]
-    shown = lambda side: [F.col(of if c == "_of" else c).alias(f"{c}{side}") for c in seen]
+    counts = lambda df, n, over=0: df.groupBy("_key").count().where(F.col("count") > over).select("_key", F.ceil(F.col("count") / block).cast("int").alias(n))
+    seen = ["_key", "_i", "_j", *seen]
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{c}{s}") for c in seen]).repartition(parts, f"_key{s}", f"_i{s}", f"_j{s}")
+    placed = lambda n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
     # a fixed number of parts: few rows with much work must not be coalesced
-    left = rows.withColumn("_i", F.col("_b")).withColumn("_j", F.explode(F.sequence(F.col("_b"), F.col("_n") - 1))).select(*shown("a")).repartition(parts, "_keya", "_ia", "_ja")
-    right = rows.withColumn("_j", F.col("_b")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_b")))).select(*shown("b")).repartition(parts, "_keyb", "_ib", "_jb")
+    if others is None:
+        rows = rows.join(cut(counts(rows, "_n", 1)), "_key").withColumn("_b", placed("_n"))
+        left = side(rows.withColumn("_i", F.col("_b")).withColumn("_j", F.explode(F.sequence(F.col("_b"), F.col("_n") - 1))), "a")
+        right = side(rows.withColumn("_j", F.col("_b")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_b")))), "b")
+    else:
+        n = cut(counts(rows, "_n").join(counts(others, "_m"), "_key"))
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = side(rows.join(n, "_key").withColumn("_i", placed("_n")).withColumn("_j", every("_m")), "a")
+        right = side(others.join(n, "_key").withColumn("_j", placed("_m")).withColumn("_i", every("_n")), "b")
+    self = others is None
+    columns = [c.split(" ")[0] for c in out.split(", ")]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = []
         if len(a) and len(b):
             a, b = a.set_axis(seen, axis=1), b.set_axis(seen, axis=1)
-            same = int(a["_i"].iloc[0]) == int(a["_j"].iloc[0])
-            b = a if same else b
-            out = [pd.DataFrame({"x": a["_of"].to_numpy()[i], "y": b["_of"].to_numpy()[j]}) for i, j in alike.near(a, b, same, least, low)]
-        return pd.concat(out) if out else pd.DataFrame({"x": [], "y": []}, dtype=object)
+            same = self and int(a["_i"].iloc[0]) == int(a["_j"].iloc[0])
+            found = list(look(a, a if same else b, same))
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in columns}, dtype=object)
+
+    return left.groupBy("_keya", "_ia", "_ja").cogroup(right.groupBy("_keyb", "_ib", "_jb")).applyInPandas(run, out)
+
+
+def _near_names(rows: DataFrame, of: str, least: float, low: float | None = None, block: int = NAMES) -> DataFrame:
+    """(x, y): the values of `of` of two rows (of, _key, and those of _told) of one _key that alike.near finds, in either order, each two rows meeting once in blocks."""
+
+    def look(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
+        for i, j in alike.near(a, b, same, least, low):
+            yield pd.DataFrame({"x": a["_of"].to_numpy()[i], "y": b["_of"].to_numpy()[j]})
 
-    return left.groupBy("_keya", "_ia", "_ja").cogroup(right.groupBy("_keyb", "_ib", "_jb")).applyInPandas(run, "x string, y string")
+    rows = rows.withColumn("_of", F.col(of))
+    return in_blocks(rows, "_of", ["_of", "name", "words", "id", "digits", "text", "runs"], look, "x string, y string", block)
 
 
 def gated_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub"), block: int = NAMES) -> DataFrame:

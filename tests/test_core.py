@@ -1,4 +1,5 @@
 import json
+import math
 import random
 import zipfile
 import zlib
@@ -353,3 +354,37 @@ def test_weights():
     assert scoring.with_directory({"a": 100.0, "directory": 100.0}) == {"a": 50.0, "directory": 50.0}
     assert scoring.config_hash({"a": 1, "b": 2}) == scoring.config_hash({"b": 2, "a": 1})
     assert all(sum(w.values()) == 100 for w in scoring.WEIGHTS.values())
+
+
+def test_alerts_without_durations_meet_in_blocks(spark, monkeypatch):
+    from echofold.operators import scoring
+
+    monkeypatch.setattr(scoring.in_blocks, "__defaults__", (16, None))
+    rng = random.Random(3)
+    word = lambda: rng.choice(["lake", "lakes", "lâke", "river", "rivers", "x" * 300])
+    rows = [(f"/{k}/{word()} {word()}.png", rng.choice([None, None, 5.0]), rng.choice([None, 0, 10, 11]), 10, rng.choice([None, 0, 100, 110]), 1.0) for k in range(120)]
+    df = spark.createDataFrame(rows, WATCHED)
+    got = {(r.path, r.match): r.score for r in watch.alerts(df, None, 70.0).collect()}
+    both = {(r.path, r.match): r.score for r in watch.alerts(df, df, 70.0).collect()}
+    share = lambda x, y: 0.0 if x is None or y is None else 1.0 if x == y == 0 else min(x, y) / max(x, y)
+
+    def edits(a, b):
+        last = list(range(len(b) + 1))
+        for i, p in enumerate(a, 1):
+            row = [i]
+            for j, q in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (p != q)))
+            last = row
+        return last[-1]
+
+    w, want = watch.default_weights("image"), {}
+    stems = [r[0].rpartition("/")[2][:-4] for r in rows]
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            if a[0] > b[0]:
+                pixels = [None if r[2] is None else r[2] * r[3] for r in (a, b)]
+                most = max(len(stems[i]), len(stems[j]))
+                score = (w["filename"] * (1 - edits(stems[i], stems[j]) / most) + w["resolution"] * share(*pixels) + w["file_size"] * share(a[4], b[4])) / sum(w.values()) * 100
+                if (a[1] is None or b[1] is None or abs(a[1] - b[1]) <= 2) and math.floor(score + 0.5) >= 70:
+                    want[a[0], b[0]] = math.floor(score + 0.5)
+    assert got == want and {k: v for k, v in both.items() if k[0] > k[1]} == want and len(both) == 2 * len(want) > 0
