@@ -12,7 +12,7 @@ from echofold.functions import names
 #: Letters up to which a string is held in a matrix; longer ones are compared one by one.
 WIDE = 256
 #: Rows of the left side compared at once.
-TILE = 512
+TILE = 128
 _SLOTS = 96
 
 

@@ -7,12 +7,13 @@ import json
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofold.functions import alike, fingerprints, names
-from echofold.operators import blocking, comparators
+from echofold.operators import blocking, comparators, weighed
 from echofold.session import cut, default_parallelism
 
 # Default weights by profile.
@@ -153,6 +154,39 @@ def gated_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub"),
     return _near_names(rows, "path", comparators.READ_ALIKE, GATE, block).select(F.least("x", "y").alias("path_a"), F.greatest("x", "y").alias("path_b"))
 
 
+#: Files that weighed.within_reach compares with as many others.
+CONTENTS = 2_048
+
+
+def _fit(field: str, rotated: bool) -> Column:
+    """Whether weighed.within_reach measures this content."""
+    c = F.col(field)
+    size = F.size(c) > 0 if field == "audio_fingerprint" else (F.size(c) >= 4) if rotated else F.size(c) == 4
+    return c.isNotNull() & size & ~F.exists(c, lambda x: x.isNull())
+
+
+def weighed_pairs(bucketed: DataFrame, aspect: str, field: str, weights: dict[str, float], threshold: float, rotated: bool, block: int = CONTENTS) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs within a bucket (`cell`) that both have `field`: (path_a, path_b, value) of those that can reach the threshold, measured, and (path_a, path_b) of all that can't be measured here."""
+    exif = [F.col(c) for c in ("exif_width", "exif_height", "width", "height")]
+    # as comparators.exif has it: known if all four are, alike if both are true to their pictures
+    frame = F.when(exif[0].isNotNull() & exif[1].isNotNull() & exif[2].isNotNull() & exif[3].isNotNull(), F.when((exif[0] == exif[2]) & (exif[1] == exif[3]), F.concat_ws("x", exif[0], exif[1])).otherwise(F.concat(F.lit("not "), F.col("path"))))
+    made = {"words": names.sorted_tokens(F.col("name")), "pixels": F.col("width").cast("double") * F.col("height"), "exif_size": frame, "measured": F.col(field)}
+    rows = bucketed.where(F.col(field).isNotNull() & F.col("path").isNotNull())
+    rows = rows.select(F.col("cell").alias("_key"), *[made.get(c, F.col(c)).alias(c) for c in weighed.SEEN], _fit(field, rotated).alias("fit"))
+
+    def look(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
+        for x, y, v in weighed.within_reach(a, b, same, weights, threshold, aspect, comparators.READ_ALIKE):
+            up = x > y
+            yield pd.DataFrame({"path_a": np.where(up, y, x), "path_b": np.where(up, x, y), "value": v})
+
+    def cross(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
+        yield a[["path"]].merge(b[["path"]], how="cross", suffixes=("_a", "_b"))
+
+    measured = in_blocks(rows.where("fit"), "path", weighed.SEEN, look, "path_a string, path_b string, value double", block)
+    rest = in_blocks(rows.where("not fit").select("_key", "path"), "path", ["path"], cross, "path_a string, path_b string", block, rows.select("_key", "path"))
+    return measured, rest.where("path_a <> path_b").select(F.least("path_a", "path_b").alias("path_a"), F.greatest("path_a", "path_b").alias("path_b"))
+
+
 def similar_names(files: DataFrame, least: float = 0.8) -> DataFrame:
     """(path_a, path_b): pairs whose sorted words are alike by `least`, from all files (path, name); names that exclude each other are left out.
 
@@ -278,14 +312,16 @@ def find_duplicates(
     own = with_content(prepared(latest(files.where(names.media_type(F.col("path")) == mode))), content)
     if sha256 is not None:
         own = own.join(sha256.select("path", "sha256"), "path", "left")
-    extra = dict(extra or {})
+    extra, ours, kinds = dict(extra or {}), set(), [c.split(" ")[0] for c in CONTENT.split(", ")[1:]]
     profile = mode
     if content is not None:
         if "audio_fingerprint" in content.columns:
             extra["audio"] = fingerprints.audio_similarity(F.col("a.audio_fingerprint"), F.col("b.audio_fingerprint"))
+            ours.add("audio")
             profile = {"video": "video+audio", "audio": "audio+fp"}.get(mode, mode)
         if set(content.columns) & {"content_hash", "clip_embedding", "simhash"}:
             extra["content"] = content_comparator(rotated)
+            ours.add("content")
             profile += "+content"
     weights = weights or WEIGHTS[profile]
     extra = {k: c for k, c in extra.items() if k in weights}
@@ -294,11 +330,25 @@ def find_duplicates(
         bucketed = blocking.refined_buckets(bucketed, pair_limit)
     else:
         bucketed = blocking.refined_buckets(blocking.anchored_buckets(own, "page_count" if mode == "document" else "duration"), pair_limit)
-    # the gate drops what it can't let through before the pairs are made, unless content or bytes may stand in for the name
-    gated = weights.get("filename", 0) > 0 and not extra and sha256 is None
+    # the gate drops what it can't let through before the pairs are made, unless content or bytes may stand in for the name;
+    # where that is one content which is measured in blocks, it decides there
+    own_only = weights.get("filename", 0) > 0 and sha256 is None
+    one = next(((k, f) for k, f in (("content", "content_hash"), ("audio", "audio_fingerprint")) if content is not None and set(extra) == {k} and k in ours and set(content.columns) & set(kinds) == {f}), None)
+    measured = one if own_only and min(weights.values()) >= 0 else None
+    gated = own_only and (not extra or measured)
     pairs = gated_pairs(bucketed) if gated else bucket_pairs(bucketed)
+    if measured:
+        cell = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in ("bucket", "sub")])
+        bucketed = bucketed.withColumn("cell", cell)
+        met, rest = weighed_pairs(bucketed, *measured, weights, threshold, rotated)
+        pairs = candidates(pairs, rest)
     if cross_names:
         pairs = candidates(pairs, similar_names(own.select("path", "name")))
     if "content" in extra:
         pairs = candidates(pairs, content_pairs(own.select("path", "content_hash"), least_content))
-    return score_pairs(attach(pairs, own), weights, threshold, extra)
+    if not measured:
+        return score_pairs(attach(pairs, own), weights, threshold, extra)
+    cells = bucketed.where(_fit(measured[1], rotated)).select("path", "cell")
+    others = attach(pairs, own.join(cells, "path", "left")).where(F.coalesce(F.col("a.cell") != F.col("b.cell"), F.lit(True)))
+    known = attach(met, own.drop(measured[1]))  # measured, so nothing large is carried along
+    return score_pairs(known, weights, threshold, {measured[0]: F.col("value")}).unionByName(score_pairs(others, weights, threshold, extra))

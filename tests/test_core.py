@@ -388,3 +388,31 @@ def test_alerts_without_durations_meet_in_blocks(spark, monkeypatch):
                 if (a[1] is None or b[1] is None or abs(a[1] - b[1]) <= 2) and math.floor(score + 0.5) >= 70:
                     want[a[0], b[0]] = math.floor(score + 0.5)
     assert got == want and {k: v for k, v in both.items() if k[0] > k[1]} == want and len(both) == 2 * len(want) > 0
+
+
+@pytest.mark.parametrize("mode", ["image", "audio"])
+def test_contents_are_measured_before_pairs_are_made(spark, monkeypatch, mode):
+    rng = random.Random(5)
+    some = lambda *x: rng.choice([None, *x])
+    rows, content = [], []
+    prints = [[rng.getrandbits(32) for _ in range(9)] for _ in range(4)]
+    hashes = [[rng.getrandbits(64) - (1 << 63) for _ in range(8)] for _ in range(4)]
+    for k in range(70):
+        name = f"{rng.choice(['lake', 'lakes', 'deep lake', 'img 12', 'img 13'])}{rng.choice(['', ' copy'])}"
+        path = f"/{k}/{name}.{'png' if mode == 'image' else 'mp3'}"
+        exif = dict(exif_datetime=some(5e8, 5e8 + 900), exif_camera=some("x", "y"), exif_lens=some("l"), exif_gps_lat=some(5.0, 5.001), exif_gps_lon=some(6.0), exif_width=some(10), exif_height=10)
+        tags = dict(tag_title=some("one", "ones", ""), tag_artist=some("her", "him"), tag_album=some("last"))
+        rows.append(dict(path=path, filename=path.rpartition("/")[2], duration=some(60.0, 61.5), width=rng.choice([10, 12]), height=10, file_size=some(0, 100, 120), **exif, **tags))
+        if mode == "image":
+            own = [x ^ (1 << rng.randrange(60)) for x in rng.choice(hashes)][: rng.choice([4, 8])]
+        else:
+            own = rng.choice(prints)[rng.randrange(3) : rng.randrange(5, 10)]
+        content.append((path, rng.choice([own, own, own, own, None, [], own[:3]])))
+    table = spark.createDataFrame(content, f"path string, {'content_hash' if mode == 'image' else 'audio_fingerprint'} array<bigint>")
+    df = spark.createDataFrame([tuple(r.get(c) for c in COLUMNS) for r in rows], FILE)
+    key = lambda got: sorted((r.path_a, r.path_b, round(r.total, 9), r.identical, str(sorted(r.breakdown.items(), key=str))) for r in got.collect())
+    want = key(scoring.find_duplicates(df, mode, content=table, rotated=True, sha256=spark.createDataFrame([], "path string, sha256 string")))
+    monkeypatch.setattr(scoring.weighed_pairs, "__defaults__", (16,))
+    monkeypatch.setattr(scoring, "bucket_pairs", None)  # no pair is made that isn't measured
+    got = key(scoring.find_duplicates(df, mode, content=table, rotated=True))
+    assert got == want and len(got) > 20
