@@ -2,7 +2,8 @@
 
 A hierarchical k-means tree is fitted on a bounded sample; every vector goes to its nearest leaf. Leaves that hold more than
 a block are split further by subtrees fitted where their vectors are, level by level, so that leaves stay small however many
-vectors there are; only a leaf that no split would tighten stays whole. A query walks the tree best bin first through a
+vectors there are; only a leaf that no split would tighten stays whole. As a vector is copied to each leaf that it visits,
+large tables are gone through a share of the leaves at a time, so that copies of one share only lie on disk at once. A query walks the tree best bin first through a
 priority queue and visits the leaves that a calibration against brute force found necessary; as a pair is looked at from both
 sides, it is enough that one of the two visits the other's leaf. Whole leaves are cut into blocks, so that one with a third of
 all vectors is spread over many tasks of bounded size, each a dense matrix product. Equal vectors are searched once and
@@ -11,6 +12,7 @@ expanded again at the end.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import pickle
 from collections.abc import Iterator
@@ -98,9 +100,8 @@ def fit_tree(sample: np.ndarray, branching: int = 16, least: int = 100, tight: f
 
 def best_bins(tree: Tree, x: np.ndarray, bound: float = np.inf) -> list[list[int]]:
     """The leaves that each row of x visits, best bin first: the nearest open node is opened next, whatever its level; after the first leaf only while its similarity is `bound` or more."""
-    near = x @ tree.centres.T
     out = []
-    for s in near.tolist():
+    for s in (s for at in range(0, len(x), 1024) for s in (x[at : at + 1024] @ tree.centres.T).tolist()):
         heap, found = [(0.0, 0)], []
         while heap:
             d, node = heapq.heappop(heap)
@@ -182,70 +183,42 @@ def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _split(rows: DataFrame, trees: DataFrame, dims: int, bound: float, parts: int) -> DataFrame:
-    """`rows` (id, vec, leaf) moved into the leaves of their leaf's subtree (leaf, tree); with a bound below that, into all that they visit. Rows of a leaf are spread over `parts` tasks, each with the subtree."""
+#: Rows of a leaf that one task moves into its subtree.
+MOVED = 4096
+
+
+def _split(rows: DataFrame, trees: DataFrame, dims: int, bound: float) -> DataFrame:
+    """(id, vec, own, leaf, subs): `rows` (id, vec, leaf, own) with those leaves of their leaf's subtree (leaf, tree, tasks) that they visit, the nearest first. Rows of a leaf are spread over its `tasks` tasks, each with the subtree; a vector is handed on once, however many leaves it visits."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return a[["id", "vec", "leaf"]]
-        t = pickle.loads(b["tree"].iloc[0])
-        bins = best_bins(t, _matrix(a["vec"], dims), bound)
-        out = a[["id", "vec", "leaf"]].assign(sub=bins).explode("sub")
-        return out.assign(leaf=out["leaf"] + "/" + out["sub"].astype(str))[["id", "vec", "leaf"]]
+            return pd.DataFrame({"id": [], "vec": [], "own": [], "leaf": [], "subs": []}, dtype=object)
+        return a[["id", "vec", "own", "leaf"]].assign(subs=best_bins(pickle.loads(b["tree"].iloc[0]), _matrix(a["vec"], dims), bound))
 
-    left = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    right = trees.select(F.col("leaf").alias("l2"), "tree", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("p2"))
-    return left.groupBy("leaf", "part").cogroup(right.groupBy("l2", "p2")).applyInPandas(run, "id string, vec binary, leaf string")
+    left = rows.join(_small(trees.select("leaf", "tasks")), "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("tasks")))
+    right = trees.select(F.col("leaf").alias("l2"), "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("p2"))
+    return left.groupBy("leaf", "part").cogroup(right.groupBy("l2", "p2")).applyInPandas(run, "id string, vec binary, own boolean, leaf string, subs array<int>")
 
 
-def most_similar(
-    rows: DataFrame, k: int = 10, least: float = 0.62, dims: int = 512, recall: float = 0.995, sample: int = 10_000, probes: int = 256, block: int = 8192
-) -> DataFrame:
-    """(path, other, cosine, rank): for each path of `rows` (path, mtime, embedding) its k most similar other paths of cosine >= least.
+def _draw(seed: int):
+    return F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000_000))
 
-    Greatest cosine first, equal ones by smaller path. The tree is fitted on at most about `sample` vectors (subtrees on as
-    many of their leaf), the bound of leaf visits on about `probes` others, against brute force over all; every vector is
-    indexed and queried. Equal vectors are equally similar (1.0). Null paths and unusable vectors take no part; repeated rows
-    count once; empty tables give no rows.
-    """
-    spark = rows.sparkSession
-    named = unit_vectors(rows, dims).withColumn("id", F.md5("vec"))
-    vectors = cut(named.groupBy("id").agg(F.first("vec").alias("vec")))
-    members = cut(named.select("id", "path").distinct())
-    n = vectors.count()
-    empty = spark.createDataFrame([], "path string, other string, cosine double, rank int")
-    if not n:
-        return empty
-    draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000_000))
-    share = lambda m: int(min(1.0, m / n) * 1_000_000_000)
-    probed = (draw(1) < share(min(probes, n / 4))).alias("probed")
-    chosen = vectors.where((draw(2) < share(sample)) | probed).select("id", "vec", probed).toPandas()  # about sample + probes rows
-    fitted, asked_for = chosen[~chosen["probed"]], chosen[chosen["probed"]]
-    if len(fitted) < 2 or not len(asked_for):
-        fitted = asked_for = vectors.select("id", "vec").orderBy("id").limit(sample).toPandas()
-    fitted, asked_for = fitted.sort_values("id"), asked_for.sort_values("id")
-    tree = fit_tree(_matrix(fitted["vec"], dims))
-    bound = _calibrate(vectors, tree, _matrix(asked_for["vec"], dims), asked_for["id"].tolist(), dims, k, least, recall)
-    del chosen, fitted
-    shared = spark.sparkContext.broadcast(tree)
 
-    def assign(wide: float):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    yield batch.assign(leaf=best_bins(shared.value, _matrix(batch["vec"], dims), wide)).explode("leaf").astype({"leaf": str})
+def _best(df: DataFrame, key: str, order: list, most: int) -> DataFrame:
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= most)
 
-        return vectors.mapInPandas(run, "id string, vec binary, leaf string")
 
-    placed, asked, whole = assign(np.inf), assign(bound), None
+def _met(asked: DataFrame, k: int, least: float, dims: int, bound: float, sample: int, block: int) -> DataFrame:
+    """(id, near, cosine): for each vector its k most similar ones of cosine >= least in the leaves it visits, and among their visitors. asked (id, vec, leaf, own): the leaves each visits, one of which is its own."""
+    whole = None
     while True:  # a level of the tree; each leaves leaves of a block at most, or such as no split would tighten
-        counts = cut(placed.groupBy("leaf").count())
-        large = counts.where(F.col("count") > block)
+        counts = asked.groupBy("leaf").agg(F.count_if("own").alias("count"), F.count("*").alias("asked"))
+        large = cut(counts.where(F.col("count") > block))
         large = large.join(whole, "leaf", "left_anti") if whole is not None else large
         if not large.limit(1).count():
             break
         large = _small(large)
-        some = placed.join(large, "leaf").where(draw(3) < (F.lit(float(sample)) / F.col("count") * 1_000_000_000)).select("leaf", "vec")
+        some = asked.where("own").join(large, "leaf").where(_draw(3) < (F.lit(float(sample)) / F.col("count") * 1_000_000_000)).select("leaf", "vec")
 
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             t = fit_tree(_matrix(pdf["vec"], dims))
@@ -254,20 +227,18 @@ def most_similar(
         trees = cut(some.groupBy("leaf").applyInPandas(fit, "leaf string, tree binary, n int"))
         stay = trees.where("n < 2").select("leaf")
         whole = cut(stay if whole is None else whole.unionByName(stay))
-        trees = trees.where("n >= 2")
+        trees = trees.where("n >= 2").join(large.select("leaf", F.ceil(F.col("asked") / MOVED).alias("tasks")), "leaf")
         if not trees.limit(1).count():
             break
-        parts = 16
-        old, split = _small(trees.select("leaf")), trees
-        rest = lambda df, old=old: df.join(old, "leaf", "left_anti")
-        into = lambda df, wide, old=old, split=split: _split(df.join(old, "leaf", "left_semi"), split, dims, wide, parts)
-        placed, asked = cut(rest(placed).unionByName(into(placed, np.inf))), cut(rest(asked).unionByName(into(asked, bound)))
-    blocks = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    cells = _small(blocks(placed, "parts").join(blocks(asked.select("leaf"), "turns"), "leaf"))
+        moved = cut(_split(asked, trees, dims, bound))
+        below = moved.select("id", "vec", "leaf", "own", F.posexplode("subs").alias("at", "sub")).select("id", "vec", F.concat_ws("/", "leaf", "sub").alias("leaf"), (F.col("own") & (F.col("at") == 0)).alias("own"))
+        asked = asked.join(_small(trees.select("leaf")), "leaf", "left_anti").select("id", "vec", "leaf", "own").unionByName(below)
+    cells = asked.groupBy("leaf").agg(F.ceil(F.count_if("own") / block).cast("int").alias("parts"), F.ceil(F.count("*") / block).cast("int").alias("turns"))
+    cells = _small(cells.where("parts > 0"))
     part_of = lambda seed, count: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     left = asked.join(cells, "leaf").select("id", "vec", "leaf", part_of(1, "turns").alias("turn"), every("parts").alias("part"))
-    right = placed.join(cells, "leaf").select(F.col("id").alias("cid"), F.col("vec").alias("cvec"), F.col("leaf").alias("cleaf"), part_of(2, "parts").alias("cpart"), every("turns").alias("cturn"))
+    right = asked.where("own").join(cells, "leaf").select(F.col("id").alias("cid"), F.col("vec").alias("cvec"), F.col("leaf").alias("cleaf"), part_of(2, "parts").alias("cpart"), every("turns").alias("cturn"))
 
     def match(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -292,9 +263,58 @@ def most_similar(
         return pd.concat(out) if out else pd.DataFrame({"id": [], "near": [], "cosine": []})
 
     near = left.groupBy("leaf", "part", "turn").cogroup(right.groupBy("cleaf", "cpart", "cturn")).applyInPandas(match, "id string, near string, cosine double")
-    near = near.groupBy("id", "near").agg(F.max("cosine").alias("cosine"))
-    best = lambda df, key, order, most: df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= most)
-    near = best(near, "id", [F.desc("cosine"), "near"], k).drop("rank")
+    return _best(near.groupBy("id", "near").agg(F.max("cosine").alias("cosine")), "id", [F.desc("cosine"), "near"], k).drop("rank")
+
+
+def most_similar(
+    rows: DataFrame, k: int = 10, least: float = 0.62, dims: int = 512, recall: float = 0.995, sample: int = 10_000, probes: int = 256, block: int = 8192, copies: int = 500_000
+) -> DataFrame:
+    """(path, other, cosine, rank): for each path of `rows` (path, mtime, embedding) its k most similar other paths of cosine >= least.
+
+    Greatest cosine first, equal ones by smaller path. The tree is fitted on at most about `sample` vectors (subtrees on as
+    many of their leaf), the bound of leaf visits on about `probes` others, against brute force over all; every vector is
+    indexed and queried. Equal vectors are equally similar (1.0). Null paths and unusable vectors take no part; repeated rows
+    count once; empty tables give no rows. Leaves are taken in turns of about `copies` visits, or a quarter of the vectors if
+    that is more.
+    """
+    spark = rows.sparkSession
+    named = unit_vectors(rows, dims).withColumn("id", F.md5("vec"))
+    vectors = cut(named.groupBy("id").agg(F.first("vec").alias("vec")))
+    members = cut(named.select("id", "path").distinct())
+    n = vectors.count()
+    empty = spark.createDataFrame([], "path string, other string, cosine double, rank int")
+    if not n:
+        return empty
+    share = lambda m: int(min(1.0, m / n) * 1_000_000_000)
+    probed = (_draw(1) < share(min(probes, n / 4))).alias("probed")
+    chosen = vectors.where((_draw(2) < share(sample)) | probed).select("id", "vec", probed).toPandas()  # about sample + probes rows
+    fitted, asked_for = chosen[~chosen["probed"]], chosen[chosen["probed"]]
+    if len(fitted) < 2 or not len(asked_for):
+        fitted = asked_for = vectors.select("id", "vec").orderBy("id").limit(sample).toPandas()
+    fitted, asked_for = fitted.sort_values("id"), asked_for.sort_values("id")
+    tree = fit_tree(_matrix(fitted["vec"], dims))
+    bound = _calibrate(vectors, tree, _matrix(asked_for["vec"], dims), asked_for["id"].tolist(), dims, k, least, recall)
+    del chosen, fitted
+    shared = spark.sparkContext.broadcast(tree)
+
+    def seat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(leaves=best_bins(shared.value, _matrix(batch["vec"], dims), bound))
+
+    seated = cut(vectors.mapInPandas(seat, "id string, vec binary, leaves array<int>"))
+    del vectors
+    visits = seated.agg(F.sum(F.size("leaves"))).first()[0]
+    turns = -(-visits // max(copies, n // 4))
+    near = None
+    for turn in range(turns):
+        asked = seated.select("id", "vec", F.posexplode("leaves").alias("at", "leaf")).where(F.pmod(F.xxhash64("leaf"), F.lit(turns)) == turn)
+        found = cut(_met(asked.select("id", "vec", F.col("leaf").cast("string").alias("leaf"), (F.col("at") == 0).alias("own")), k, least, dims, bound, sample, block))
+        near = found if near is None else near.unionByName(found)
+        if turns > 1:  # else a turn's shuffled copies stay until the driver happens to collect its garbage
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+    near = _best(near.groupBy("id", "near").agg(F.max("cosine").alias("cosine")), "id", [F.desc("cosine"), "near"], k).drop("rank")
     # at most k + 1 smallest paths of each set of equal vectors, salted so that a large set is cut down in many tasks
     salt = F.pmod(F.xxhash64("path"), F.lit(64))
     tops = members.withColumn("salt", salt).withColumn("r", F.row_number().over(Window.partitionBy("id", "salt").orderBy("path"))).where(F.col("r") <= k + 1)
@@ -302,12 +322,12 @@ def most_similar(
     lists = tops.select("id", F.col("path").alias("other"), F.lit(1.0).alias("cosine")).unionByName(
         near.join(tops.select(F.col("id").alias("near"), F.col("path").alias("other")), "near").select("id", "other", F.least("cosine", F.lit(1.0)).alias("cosine"))
     )
-    lists = best(lists, "id", [F.desc("cosine"), "other"], k + 1)
+    lists = _best(lists, "id", [F.desc("cosine"), "other"], k + 1)
     lists = lists.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "other", "cosine"))).alias("near"))  # at most k + 1 entries
     own = F.slice(F.filter("near", lambda e: e["other"] != F.col("path")), 1, k)
     pairs = members.join(lists, "id").select("path", F.explode(own).alias("e")).select("path", "e.other", "e.cosine")
     pairs = pairs.groupBy("path", "other").agg(F.max("cosine").alias("cosine"))
-    return best(pairs, "path", [F.desc("cosine"), "other"], k).select("path", "other", "cosine", "rank")
+    return _best(pairs, "path", [F.desc("cosine"), "other"], k).select("path", "other", "cosine", "rank")
 
 
 def found_pairs(rows: DataFrame, **options) -> DataFrame:

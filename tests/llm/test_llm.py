@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -243,6 +244,22 @@ def test_neighbours_against_brute_force(spark):
     assert len(got & true) >= 0.9 * len(true) and len(got & true) >= 0.9 * len(got)
 
 
+def test_neighbours_in_turns_hand_a_vector_on_once(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([c + 0.3 * rng.normal(size=(60, 16)) for c in rng.normal(size=(8, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(f"p{i:03}", 1.0, [float(v) for v in r]) for i, r in enumerate(x)], "path string, mtime double, embedding array<float>")
+    pairs = lambda **more: sorted(neighbours.found_pairs(df, dims=16, sample=120, probes=60, block=20, **more).collect())
+    assert pairs(copies=150) == pairs() and len(pairs()) > 1000
+    # a vector that visits all leaves of a subtree comes out once, not once for each of them
+    unit = neighbours._unit(x)
+    tree = neighbours.fit_tree(unit)
+    rows = spark.createDataFrame([(f"p{i:03}", bytearray(v.tobytes()), "0", True) for i, v in enumerate(unit)], "id string, vec binary, leaf string, own boolean")
+    trees = spark.createDataFrame([("0", bytearray(pickle.dumps(tree)), 3)], "leaf string, tree binary, tasks long")
+    out = neighbours._split(rows, trees, 16, -2.0).collect()
+    assert len(out) == len(x) and all(sorted(r.subs) == sorted(tree.leaves) for r in out)
+    assert {r.id: r.subs[0] for r in out} == {f"p{i:03}": b[0] for i, b in enumerate(neighbours.best_bins(tree, unit))}
+
+
 def flip(v, share, rng, word):
     bits = np.unpackbits(np.asarray(v, "<i8").view(np.uint8).reshape(-1, 8)[:, : word // 8].copy(), axis=1)
     bits ^= (rng.random(bits.shape) < share).astype(np.uint8)
