@@ -14,6 +14,7 @@ import heapq
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -84,11 +85,21 @@ def grams_of(word: str, n: int = 4) -> list[str]:
     return [word[k : k + n] for k in range(len(word) - n + 1)] or [word]
 
 
+@lru_cache(maxsize=1 << 16)
+def _letters(word: str) -> Counter[str]:
+    return Counter(word)
+
+
 @lru_cache(maxsize=1 << 16)
 def distance(a: str, b: str, most: int) -> int:
     """Edits (with swaps of neighbours) from a to b; most + 1 where there are more."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if len(a) + len(b) > 12:  # an edit takes one letter of a, brings one of b, or both
+        own = _letters(a)
+        both = sum(min(n, own[c]) for c, n in _letters(b).items() if c in own)
+        if max(len(a), len(b)) - both > most:
+            return most + 1
     before, last = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -114,6 +125,13 @@ def _skeleton(short: str, full: str) -> bool:
     return len(short) > 1 and short[0] == full[0] and all(c in rest for c in short)
 
 
+@lru_cache(maxsize=1 << 16)
+def _written_out(short: str) -> tuple[str, ...]:
+    """What a nickname stands for, mistyped by one edit or not."""
+    return tuple(f for s, f in NICKNAMES.items() if abs(len(s) - len(short)) <= 1 and s[0] == short[0] and distance(s, short, 1) <= 1)
+
+
+@lru_cache(maxsize=1 << 16)
 def word_match(a: str, b: str) -> float:
     """How far two words can be the same: 1.0 equal, less for nicknames, typos, abbreviations and initials, 0.0 not at all."""
     p, q = a.rstrip("."), b.rstrip(".")
@@ -133,8 +151,7 @@ def word_match(a: str, b: str) -> float:
         d = min(d, 1 + distance(x, y, _slack(x, y)))
     for short, full in ((p, q), (q, p)):
         if 3 <= len(short) <= 6 and d > 1:
-            near = [f for s, f in NICKNAMES.items() if abs(len(s) - len(short)) <= 1 and s[0] == short[0] and distance(s, short, 1) <= 1]
-            if any(distance(f, full, 1) <= 1 for f in near):
+            if any(distance(f, full, 1) <= 1 for f in _written_out(short)):
                 return 0.7
     return max(0.0, 1 - 0.12 * d) if d <= _slack(p, q) else 0.0
 

@@ -221,6 +221,34 @@ def test_slips_are_put_right(spark):
     assert got == {("tag_title", "warehuose"): "warehouse", ("tag_title", "watrehuse"): "warehouse"}
 
 
+def test_words_are_compared_without_walking_the_nicknames_again(monkeypatch):
+    def plain(a, b):
+        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = random.Random(6)
+    for _ in range(1500):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 12)))
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 2)] = rng.choice(["", "a", "d", "cb"])
+        b, most = "".join(b), rng.randint(0, 4)
+        assert min(spellings.distance(a, b, most), most + 1) == min(plain(a, b), most + 1)
+    assert spellings.word_match("bobb", "roberta") == 0.7 and spellings.word_match("bobb", "stephen") == 0.0
+    # the names that a short word may stand for are looked up once, not for each of its pairs
+    calls, real = [], spellings.distance
+    monkeypatch.setattr(spellings, "distance", lambda *x: calls.append(x) or real(*x))
+    for k in range(300):
+        spellings.word_match("mikke", f"w{k:03}xq")
+    assert len(calls) < 3000
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 16))
