@@ -41,8 +41,8 @@ class Bags:
         levels = range(1, int(most.max(initial=0)) + 1)
         self.bags = [np.concatenate([c[:, most >= k] >= k for k in levels] or [np.zeros((len(c), 1))], axis=1).astype(np.float32) for c in counts]
 
-    def common(self, rows: slice) -> np.ndarray:
-        return self.bags[0][rows] @ self.bags[1].T
+    def common(self, rows: slice, cols: slice = slice(None)) -> np.ndarray:
+        return self.bags[0][rows] @ self.bags[1][cols].T
 
     def ratios(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """indel_ratio of the pairs: bit-parallel, a word of 64 bits for each pair; longer strings one by one."""

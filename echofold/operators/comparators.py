@@ -112,9 +112,12 @@ def filename_exclusion() -> Column:
 READ_ALIKE = 0.85
 
 
+def plain_word(t: Column) -> Column:
+    return (F.length(t) >= 3) & t.rlike(r"^\p{L}+$")
+
+
 def filename(ratio: Column) -> Column:
     """From the ratio of the sorted words: 0 where the names exclude each other, or read moderately alike and each has a word of its own."""
     x, y = (F.split(c, " ") for c in _both("name"))
-    word = lambda t: (F.length(t) >= 3) & t.rlike(r"^\p{L}+$")
-    own = F.exists(F.array_except(x, y), word) & F.exists(F.array_except(y, x), word)
+    own = F.exists(F.array_except(x, y), plain_word) & F.exists(F.array_except(y, x), plain_word)
     return F.when(filename_exclusion() | ((ratio < READ_ALIKE) & own), 0.0).otherwise(ratio)

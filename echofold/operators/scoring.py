@@ -99,10 +99,13 @@ def bucket_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub"),
 NAMES = 8_192
 
 
+def _seen(n: Column) -> dict[str, Column]:
+    return {"words": names.sorted_tokens(n), "id": names.is_numeric_id(n), "digits": names.digits(n), "text": names.skeleton(n), "runs": F.array_join(names.digit_runs(n), " ")}
+
+
 def _told(named: DataFrame, *more: str) -> DataFrame:
     """What alike.near looks at."""
-    n = F.col("name")
-    return named.select(*more, "name", names.sorted_tokens(n).alias("words"), names.is_numeric_id(n).alias("id"), names.digits(n).alias("digits"), names.skeleton(n).alias("text"), F.array_join(names.digit_runs(n), " ").alias("runs"))
+    return named.select(*more, "name", *[c.alias(k) for k, c in _seen(F.col("name")).items()])
 
 
 def in_blocks(rows: DataFrame, of: str, seen: list[str], look: Callable, out: str, block: int = NAMES, others: DataFrame | None = None) -> DataFrame:
@@ -136,22 +139,32 @@ def in_blocks(rows: DataFrame, of: str, seen: list[str], look: Callable, out: st
     return left.groupBy("_keya", "_ia", "_ja").cogroup(right.groupBy("_keyb", "_ib", "_jb")).applyInPandas(run, out)
 
 
-def _near_names(rows: DataFrame, of: str, least: float, low: float | None = None, block: int = NAMES) -> DataFrame:
-    """(x, y): the values of `of` of two rows (of, _key, and those of _told) of one _key that alike.near finds, in either order, each two rows meeting once in blocks."""
+def _near_names(rows: DataFrame, of: str, least: float, low: float | None = None, block: int = NAMES, others: DataFrame | None = None) -> DataFrame:
+    """(x, y): the values of `of` of two rows (of, _key, and those of _told) of one _key that alike.near finds, in either order, each two rows meeting once in blocks; with `others`, of a row and one of those."""
 
     def look(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
         for i, j in alike.near(a, b, same, least, low):
             yield pd.DataFrame({"x": a["_of"].to_numpy()[i], "y": b["_of"].to_numpy()[j]})
 
-    rows = rows.withColumn("_of", F.col(of))
-    return in_blocks(rows, "_of", ["_of", "name", "words", "id", "digits", "text", "runs"], look, "x string, y string", block)
+    rows, others = (df if df is None else df.withColumn("_of", F.col(of)) for df in (rows, others))
+    return in_blocks(rows, "_of", ["_of", "name", "words", "id", "digits", "text", "runs"], look, "x string, y string", block, others)
 
 
-def gated_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub"), block: int = NAMES) -> DataFrame:
-    """(path_a, path_b), path_a < path_b: of the pairs within a bucket those that the file-name gate can let through, and those of equal names. Files without a name pair with none."""
+def gated_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub"), block: int = NAMES, but: Column | None = None) -> DataFrame:
+    """(path_a, path_b), path_a < path_b: of the pairs within a bucket those that the file-name gate can let through, and those of equal names. Files without a name pair with none.
+
+    Pairs of two files for which `but` holds are left out.
+    """
     key = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
-    rows = _told(bucketed.where("path is not null and name is not null").withColumn("_key", key), "path", "_key")
-    return _near_names(rows, "path", comparators.READ_ALIKE, GATE, block).select(F.least("x", "y").alias("path_a"), F.greatest("x", "y").alias("path_b"))
+    rows = bucketed.where("path is not null and name is not null").withColumn("_key", key)
+    told = lambda df: _told(df, "path", "_key")
+    near = lambda df, others=None: _near_names(df, "path", comparators.READ_ALIKE, GATE, block, others)
+    if but is None:
+        met = near(told(rows))
+    else:
+        few = told(rows.where(~but))
+        met = near(few).unionByName(near(few, told(rows.where(but))))
+    return met.select(F.least("x", "y").alias("path_a"), F.greatest("x", "y").alias("path_b"))
 
 
 #: Files that weighed.within_reach compares with as many others.
@@ -159,30 +172,32 @@ CONTENTS = 2_048
 
 
 def _fit(field: str, rotated: bool) -> Column:
-    """Whether weighed.within_reach measures this content."""
+    """Whether weighed.within_reach measures this content, and knows what else is told of the file: there, nan is unknown."""
     c = F.col(field)
+    real = F.lit(True)
+    for n in ("duration", "exif_datetime", "exif_gps_lat", "exif_gps_lon"):
+        real = real & ~F.coalesce(F.isnan(n), F.lit(False))
     size = F.size(c) > 0 if field == "audio_fingerprint" else (F.size(c) >= 4) if rotated else F.size(c) == 4
-    return c.isNotNull() & size & ~F.exists(c, lambda x: x.isNull())
+    return c.isNotNull() & size & ~F.exists(c, lambda x: x.isNull()) & real
 
 
 def weighed_pairs(bucketed: DataFrame, aspect: str, field: str, weights: dict[str, float], threshold: float, rotated: bool, block: int = CONTENTS) -> tuple[DataFrame, DataFrame]:
-    """Of the pairs within a bucket (`cell`) that both have `field`: (path_a, path_b, value) of those that can reach the threshold, measured, and (path_a, path_b) of all that can't be measured here."""
+    """Of the pairs within a bucket (`cell`) that both have `field`: weighed.OUT of those that reach the threshold, and (path_a, path_b) of all that can't be measured here."""
     exif = [F.col(c) for c in ("exif_width", "exif_height", "width", "height")]
     # as comparators.exif has it: known if all four are, alike if both are true to their pictures
     frame = F.when(exif[0].isNotNull() & exif[1].isNotNull() & exif[2].isNotNull() & exif[3].isNotNull(), F.when((exif[0] == exif[2]) & (exif[1] == exif[3]), F.concat_ws("x", exif[0], exif[1])).otherwise(F.concat(F.lit("not "), F.col("path"))))
-    made = {"words": names.sorted_tokens(F.col("name")), "pixels": F.col("width").cast("double") * F.col("height"), "exif_size": frame, "measured": F.col(field)}
+    plain = F.filter(F.split("name", " "), comparators.plain_word)
+    made = _seen(F.col("name")) | {"plain": plain, "pixels": F.col("width").cast("double") * F.col("height"), "exif_size": frame, "measured": F.col(field)}
     rows = bucketed.where(F.col(field).isNotNull() & F.col("path").isNotNull())
     rows = rows.select(F.col("cell").alias("_key"), *[made.get(c, F.col(c)).alias(c) for c in weighed.SEEN], _fit(field, rotated).alias("fit"))
 
     def look(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
-        for x, y, v in weighed.within_reach(a, b, same, weights, threshold, aspect, comparators.READ_ALIKE):
-            up = x > y
-            yield pd.DataFrame({"path_a": np.where(up, y, x), "path_b": np.where(up, x, y), "value": v})
+        yield from weighed.within_reach(a, b, same, weights, threshold, aspect, comparators.READ_ALIKE)
 
     def cross(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
         yield a[["path"]].merge(b[["path"]], how="cross", suffixes=("_a", "_b"))
 
-    measured = in_blocks(rows.where("fit"), "path", weighed.SEEN, look, "path_a string, path_b string, value double", block)
+    measured = in_blocks(rows.where("fit"), "path", weighed.SEEN, look, weighed.OUT, block)
     rest = in_blocks(rows.where("not fit").select("_key", "path"), "path", ["path"], cross, "path_a string, path_b string", block, rows.select("_key", "path"))
     return measured, rest.where("path_a <> path_b").select(F.least("path_a", "path_b").alias("path_a"), F.greatest("path_a", "path_b").alias("path_b"))
 
@@ -247,7 +262,11 @@ def score_pairs(pairs: DataFrame, weights: dict[str, float], threshold: float =
         has_content = has_content | F.col(f"raw_{k}").isNotNull()
     if weights.get("filename", 0) > 0:
         step = step.where(F.col("identical") | F.col("bytes_equal") | has_content | (F.col("raw_filename") >= GATE))
-    step = step.select("*", *late.values())
+    return _totalled(step.select("*", *late.values()), weights, threshold)
+
+
+def _totalled(step: DataFrame, weights: dict[str, float], threshold: float) -> DataFrame:
+    """What score_pairs yields, of pairs whose aspects have their values (raw_*, identical, bytes_equal)."""
     total = sum((F.coalesce(F.col(f"raw_{k}") * float(w), F.lit(0.0)) for k, w in weights.items()), F.lit(0.0))
     total = F.when(F.col("identical") | F.col("bytes_equal"), 100.0).otherwise(total)
     full = F.map_from_arrays(F.array(*[F.lit(k) for k in weights]), F.array(*[F.round(F.col(f"raw_{k}") * float(w), 1) for k, w in weights.items()]))
@@ -336,7 +355,7 @@ def find_duplicates(
     one = next(((k, f) for k, f in (("content", "content_hash"), ("audio", "audio_fingerprint")) if content is not None and set(extra) == {k} and k in ours and set(content.columns) & set(kinds) == {f}), None)
     measured = one if own_only and min(weights.values()) >= 0 else None
     gated = own_only and (not extra or measured)
-    pairs = gated_pairs(bucketed) if gated else bucket_pairs(bucketed)
+    pairs = (gated_pairs(bucketed, but=F.coalesce(_fit(measured[1], rotated), F.lit(False)) if measured else None)) if gated else bucket_pairs(bucketed)
     if measured:
         cell = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in ("bucket", "sub")])
         bucketed = bucketed.withColumn("cell", cell)
@@ -350,5 +369,9 @@ def find_duplicates(
         return score_pairs(attach(pairs, own), weights, threshold, extra)
     cells = bucketed.where(_fit(measured[1], rotated)).select("path", "cell")
     others = attach(pairs, own.join(cells, "path", "left")).where(F.coalesce(F.col("a.cell") != F.col("b.cell"), F.lit(True)))
-    known = attach(met, own.drop(measured[1]))  # measured, so nothing large is carried along
-    return score_pairs(known, weights, threshold, {measured[0]: F.col("value")}).unionByName(score_pairs(others, weights, threshold, extra))
+    if set(weights) <= {*weighed.VALUED, measured[0]}:
+        raw = {k: F.col("value" if k == measured[0] else f"raw_{k}") for k in weights}
+        known = _totalled(met.select("path_a", "path_b", "identical", F.lit(False).alias("bytes_equal"), *[F.when(~F.isnan(c), c).alias(f"raw_{k}") for k, c in raw.items()]), weights, threshold)
+    else:
+        known = score_pairs(attach(met.select("path_a", "path_b", "value"), own.drop(measured[1])), weights, threshold, {measured[0]: F.col("value")})  # measured, so nothing large is carried along
+    return known.unionByName(score_pairs(others, weights, threshold, extra))

@@ -4,6 +4,7 @@ import random
 import zipfile
 import zlib
 
+import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from echofold.functions import fingerprints, formats, names
-from echofold.operators import blocking, cache, comparators, filters, groups, scoring
+from echofold.operators import blocking, cache, comparators, filters, groups, scoring, weighed
 from echofold.plans import reports
 from echofold.sources import scan
 from echofold.streaming import watch
@@ -416,3 +417,45 @@ def test_contents_are_measured_before_pairs_are_made(spark, monkeypatch, mode):
     monkeypatch.setattr(scoring, "bucket_pairs", None)  # no pair is made that isn't measured
     got = key(scoring.find_duplicates(df, mode, content=table, rotated=True))
     assert got == want and len(got) > 20
+
+
+@pytest.mark.parametrize("mode", ["image", "audio"])
+def test_measured_pairs_come_with_their_values(spark, mode):
+    # in letters alike, in their order not: what letters allow reaches the threshold, the pair does not
+    kind, field = ("content", "content_hash") if mode == "image" else ("audio", "audio_fingerprint")
+    base = {"duration": 60.0, "width": 10, "height": 10, "tag_title": "abcdefgh"}
+    told = [base | {"path": "/a", "filename": "abcdefgh"}, base | {"path": "/b", "filename": "hgfedcba", "tag_title": "hgfedcba"}, base | {"path": "/c", "filename": "abcdefgh", "file_size": 500}, base | {"path": "/d", "filename": "x", "duration": float("nan")}]
+    own = scoring.prepared(files(spark, *told)).withColumn("cell", F.lit("x"))
+    print_of = {"/a": [0, 0, 0, 0], "/b": [-1 if mode == "image" else (1 << 32) - 1] * 4, "/c": [0, 0, 0, 1], "/d": [0, 0, 0, 0]}
+    own = own.join(spark.createDataFrame(list(print_of.items()), f"path string, {field} array<bigint>"), "path")
+    weights = {"filename": 50, "duration": 10, "resolution": 5, kind: 35} if mode == "image" else {"tags": 50, "duration": 10, "resolution": 5, kind: 35}
+    met, rest = scoring.weighed_pairs(own, kind, field, weights, 50.0, True)
+    got = {(r.path_a, r.path_b): r for r in met.collect()}
+    assert set(got) == {("/a", "/c")} and {(r.path_a, r.path_b) for r in rest.collect()} == {("/a", "/d"), ("/b", "/d"), ("/c", "/d")}
+    r = got["/a", "/c"]
+    assert r.value == 1 - 1 / (256 if mode == "image" else 128) and r.raw_duration == r.raw_resolution == 1.0 and not r.identical
+    assert (r.raw_filename if mode == "image" else r.raw_tags) == 1.0
+
+
+def test_gate_leaves_out_pairs_that_are_measured(spark):
+    df = spark.createDataFrame([(f"/{k}", "harbour", k < 3) for k in range(5)], "path string, name string, measured boolean").withColumn("bucket", F.lit(1))
+    got = sorted((r.path_a, r.path_b) for r in scoring.gated_pairs(df, ("bucket",), but=F.col("measured")).collect())
+    assert got == [(f"/{i}", f"/{j}") for i in range(5) for j in range(i + 1, 5) if j > 2]
+
+
+def test_prints_and_hashes_equal_brute_force():
+    rng, wrong = random.Random(3), lambda x, y: sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x, y, strict=False))
+    by_length = lambda lists: pd.Series(sorted(lists, key=len))
+    for _ in range(20):
+        a, b = (by_length([[rng.choice([7, rng.getrandbits(32)]) for _ in range(rng.randint(1, 9))] for _ in range(8)]) for _ in "ab")
+        got = weighed.Prints(a, b).similarity(slice(2, 8), 3)
+        for i, x in enumerate(a[2:]):
+            for j, y in enumerate(b[3:]):
+                s, long_ = sorted((x, y), key=len)
+                assert got[i, j] == 1 - min(wrong(s, long_[o:]) for o in range(len(long_) - len(s) + 1)) / (len(s) * 32.0)
+        a, b = (by_length([[rng.getrandbits(64) - (1 << 63) for _ in range(rng.choice([4, 8, 9, 12]))] for _ in range(8)]) for _ in "ab")
+        got = weighed.Hashes(a, b).similarity(slice(2, 8), 3)
+        for i, x in enumerate(a[2:]):
+            for j, y in enumerate(b[3:]):
+                each = [wrong(p[:4], q[k * 4 : k * 4 + 4]) for p, q in ((x, y), (y, x)) for k in range(len(q) // 4)]
+                assert got[i, j] == 1 - min(each) / 256.0
