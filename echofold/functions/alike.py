@@ -11,8 +11,8 @@ from echofold.functions import names
 
 #: Letters up to which a string is held in a matrix; longer ones are compared one by one.
 WIDE = 256
-#: Rows of the left side compared at once.
-TILE = 128
+#: Rows of the left side, and of the right, compared at once: few enough to stay in a core's cache.
+TILE, WIDTH = 128, 1024
 _SLOTS = 96
 
 
@@ -95,8 +95,11 @@ def near(a: pd.DataFrame, b: pd.DataFrame, same: bool, least: float, low: float
     """Positions (i, j) of rows (name, words, id, digits, text, runs) whose words are alike by `least` and whose names don't exclude each other.
 
     With `low`, also those alike by `low` of which one may have no plain word of its own, and equal names. Nothing that
-    counts is left out; with `low`, more than that may come out. `same`: a and b are one block, and i < j.
+    counts is left out; with `low`, more than that may come out. `same`: a and b are one block, and each two rows come once.
     """
+    # by length, so that a tile meets only those that are long or short enough
+    order = [np.argsort(x["words"].str.len().to_numpy(), kind="stable") for x in (a, b)]
+    a, b = a.iloc[order[0]], b.iloc[order[1]]
     bags = Bags(a["words"].tolist(), b["words"].tolist())
     (la, lb), (name_a, name_b), (text_a, text_b) = bags.lengths, _joint(a["name"], b["name"]), _joint(a["text"], b["text"])
     (runs_a, runs_b), (digits_a, digits_b) = _joint(a["runs"], b["runs"]), _joint(a["digits"], b["digits"])
@@ -104,26 +107,40 @@ def near(a: pd.DataFrame, b: pd.DataFrame, same: bool, least: float, low: float
     long_a, long_b = la > WIDE, lb > WIDE
     if low is not None:
         (xa, na, yb), (xb, nb, ya) = _own_words(a["name"].tolist(), b["name"].tolist()), _own_words(b["name"].tolist(), a["name"].tolist())
+    floor = (least if low is None else low) / 2
+    # what two bags have in common, less what they need
+    need = [np.concatenate([bags.bags[0], (la * -floor)[:, None], np.ones((len(la), 1))], axis=1).astype(np.float32), np.concatenate([bags.bags[1], np.ones((len(lb), 1)), (lb * -floor)[:, None]], axis=1).astype(np.float32)]
+    any_long = long_a.any() or long_b.any()
     for at in range(0, len(a), TILE):
-        rows = slice(at, at + TILE)
-        n = (la[rows, None] + lb[None, :]).astype(np.float32)
-        common = bags.common(rows)
-        if long_a[rows].any() or long_b.any():
-            common = np.where(long_a[rows, None] | long_b[None, :], np.minimum(la[rows, None], lb[None, :]), common).astype(np.float32)
-        ok = common >= n * np.float32(least / 2) - np.float32(1e-3)
-        if low is not None:
-            bare = (xa[rows] @ yb.T >= na[rows, None]) | (ya[rows] @ xb.T >= nb[None, :])
-            ok |= bare & (common >= n * np.float32(low / 2) - np.float32(1e-3))
-        i, j = np.nonzero(ok)
-        i = i + at
-        if same:
-            i, j = i[i < j], j[i < j]
-        equal = name_a[i] == name_b[j]
-        excluded = (id_a[i] & id_b[j] & (digits_a[i] != digits_b[j])) | (told[i] & (text_a[i] == text_b[j]) & (runs_a[i] != runs_b[j])) | (blank[i] & ~equal)
-        keep = ~excluded if low is None else equal | ~excluded
-        i, j, equal = i[keep], j[keep], equal[keep]
-        r = bags.ratios(i, j)
-        keep = r >= least
-        if low is not None:
-            keep |= equal | ((r >= low - 1e-9) & bare[i - at, j])
-        yield i[keep], j[keep]
+        rows = slice(at, min(at + TILE, len(a)))
+        first = int(np.searchsorted(lb, la[rows.start] * floor / (1 - floor) - 1e-6))
+        last = int(np.searchsorted(lb, la[rows.stop - 1] * (1 - floor) / floor + 1e-6, "right"))
+        for start in range(max(first, at) if same else first, last, WIDTH):
+            cols = slice(start, min(start + WIDTH, last))
+            over = need[0][rows] @ need[1][cols].T
+            if any_long and (long_a[rows].any() or long_b[cols].any()):
+                x, y = la[rows, None], lb[None, cols]
+                over = np.where(long_a[rows, None] | long_b[None, cols], np.minimum(x, y) - (x + y) * floor, over)
+            bare = None
+            if low is None:
+                ok = over >= -1e-3
+            else:
+                bare = xa[rows] @ yb[cols].T >= na[rows, None]
+                bare |= ya[rows] @ xb[cols].T >= nb[None, cols]
+                ok = over >= (least / 2 - floor) * (la[rows, None] + lb[None, cols]).astype(np.float32) - np.float32(1e-3)
+                ok |= bare & (over >= -1e-3)
+            at_once = np.flatnonzero(ok)
+            i, j = at_once // ok.shape[1] + rows.start, at_once % ok.shape[1] + cols.start
+            if same:
+                i, j = i[i < j], j[i < j]
+            equal = name_a[i] == name_b[j]
+            excluded = (id_a[i] & id_b[j] & (digits_a[i] != digits_b[j])) | (told[i] & (text_a[i] == text_b[j]) & (runs_a[i] != runs_b[j])) | (blank[i] & ~equal)
+            keep = ~excluded if low is None else equal | ~excluded
+            i, j, equal = i[keep], j[keep], equal[keep]
+            if not len(i):
+                continue
+            r = bags.ratios(i, j)
+            keep = r >= least
+            if low is not None:
+                keep |= equal | ((r >= low - 1e-9) & bare[i - rows.start, j - cols.start])
+            yield order[0][i[keep]], order[1][j[keep]]

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from echofold.functions import fingerprints, formats, names
+from echofold.functions import alike, fingerprints, formats, names
 from echofold.operators import blocking, cache, comparators, filters, groups, scoring, weighed
 from echofold.plans import reports
 from echofold.sources import scan
@@ -459,3 +459,17 @@ def test_prints_and_hashes_equal_brute_force():
             for j, y in enumerate(b[3:]):
                 each = [wrong(p[:4], q[k * 4 : k * 4 + 4]) for p, q in ((x, y), (y, x)) for k in range(len(q) // 4)]
                 assert got[i, j] == 1 - min(each) / 256.0
+
+
+def test_names_meet_by_length_and_lose_no_pair(monkeypatch):
+    rng = random.Random(7)
+    told = [" ".join(sorted(rng.choice(["harbour", "harbor", "lake", "lakes", "ab", "x" * 70, "x" * 69, "y" * 300]) for _ in range(rng.randint(1, 3)))) for _ in range(90)] + [""]
+    a = pd.DataFrame({"name": told, "words": told, "id": False, "digits": "", "text": told, "runs": ""})
+    for low in (None, 0.6):
+        found = {}
+        for tile, width in ((128, 1024), (4, 8)):
+            monkeypatch.setattr(alike, "TILE", tile)
+            monkeypatch.setattr(alike, "WIDTH", width)
+            found[tile] = sorted(tuple(sorted(p)) for i, j in alike.near(a, a, True, 0.8, low) for p in zip(i.tolist(), j.tolist(), strict=True))
+        must = {(i, j) for i in range(90) for j in range(i + 1, 90) if names.indel_ratio(told[i], told[j]) >= 0.8}
+        assert found[128] == found[4] and must <= set(found[4]) and len(set(found[4])) == len(found[4]) and (low or must == set(found[4]))
