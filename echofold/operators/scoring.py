@@ -331,6 +331,7 @@ def find_duplicates(
     own = with_content(prepared(latest(files.where(names.media_type(F.col("path")) == mode))), content)
     if sha256 is not None:
         own = own.join(sha256.select("path", "sha256"), "path", "left")
+    own = cut(own)  # buckets, names, contents and the joins of pairs all start from it
     extra, ours, kinds = dict(extra or {}), set(), [c.split(" ")[0] for c in CONTENT.split(", ")[1:]]
     profile = mode
     if content is not None:
@@ -355,10 +356,10 @@ def find_duplicates(
     one = next(((k, f) for k, f in (("content", "content_hash"), ("audio", "audio_fingerprint")) if content is not None and set(extra) == {k} and k in ours and set(content.columns) & set(kinds) == {f}), None)
     measured = one if own_only and min(weights.values()) >= 0 else None
     gated = own_only and (not extra or measured)
+    if measured:  # read for the gate, the blocks and the rest, on both sides
+        bucketed = cut(bucketed.withColumn("cell", F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in ("bucket", "sub")])))
     pairs = (gated_pairs(bucketed, but=F.coalesce(_fit(measured[1], rotated), F.lit(False)) if measured else None)) if gated else bucket_pairs(bucketed)
     if measured:
-        cell = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in ("bucket", "sub")])
-        bucketed = bucketed.withColumn("cell", cell)
         met, rest = weighed_pairs(bucketed, *measured, weights, threshold, rotated)
         pairs = candidates(pairs, rest)
     if cross_names:
