@@ -97,6 +97,8 @@ def bucket_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub"),
 
 #: Names that one task compares with as many others.
 NAMES = 8_192
+#: Buckets up to which their numbers of blocks are broadcast, so that no bucket gathers in one task to get its own.
+FEW = 10_000
 
 
 def _seen(n: Column) -> dict[str, Column]:
@@ -115,13 +117,14 @@ def in_blocks(rows: DataFrame, of: str, seen: list[str], look: Callable, out: st
     seen = ["_key", "_i", "_j", *seen]
     side = lambda df, s: df.select(*[F.col(c).alias(f"{c}{s}") for c in seen]).repartition(parts, f"_key{s}", f"_i{s}", f"_j{s}")
     placed = lambda n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    small = lambda df: F.broadcast(df) if df.count() <= FEW else df
     # a fixed number of parts: few rows with much work must not be coalesced
     if others is None:
-        rows = rows.join(cut(counts(rows, "_n", 1)), "_key").withColumn("_b", placed("_n"))
+        rows = rows.join(small(cut(counts(rows, "_n", 1))), "_key").withColumn("_b", placed("_n"))
         left = side(rows.withColumn("_i", F.col("_b")).withColumn("_j", F.explode(F.sequence(F.col("_b"), F.col("_n") - 1))), "a")
         right = side(rows.withColumn("_j", F.col("_b")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_b")))), "b")
     else:
-        n = cut(counts(rows, "_n").join(counts(others, "_m"), "_key"))
+        n = small(cut(counts(rows, "_n").join(counts(others, "_m"), "_key")))
         every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         left = side(rows.join(n, "_key").withColumn("_i", placed("_n")).withColumn("_j", every("_m")), "a")
         right = side(others.join(n, "_key").withColumn("_j", placed("_m")).withColumn("_i", every("_n")), "b")
@@ -283,6 +286,8 @@ def content_pairs(hashes: DataFrame, least: float = 0.95) -> DataFrame:
 
     Hashes that differ in at most r of 256 bits agree in one of r + 1 blocks of bits, so the join on blocks loses none; the
     higher `least`, the longer and more selective the blocks. Equal hashes are compared once.
+
+    No side is broadcast: Spark's estimate knows nothing of the length of arrays, nor of the rows explode makes of each.
     """
     frames = hashes.where("path is not null and size(content_hash) >= 4").select("path", F.explode(F.transform(F.sequence(F.lit(0), (F.size("content_hash") / 4).cast("int") - 1), lambda k: F.slice("content_hash", k * 4 + 1, F.lit(4)))).alias("h")).distinct()
     distinct = frames.select("h").distinct()
@@ -292,9 +297,9 @@ def content_pairs(hashes: DataFrame, least: float = 0.95) -> DataFrame:
     keys = distinct.select("h", F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring(bits, a + 1, b - a)) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])).alias("key"))
     a, b = keys.alias("a"), keys.alias("b")
     wrong = F.aggregate(F.zip_with(F.col("a.h"), F.col("b.h"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h") <= F.col("b.h")) & (wrong < n)).select(F.col("a.h").alias("x"), F.col("b.h").alias("y")).distinct()
+    met = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.h") <= F.col("b.h")) & (wrong < n)).select(F.col("a.h").alias("x"), F.col("b.h").alias("y")).distinct()
     left, right = frames.select(F.col("path").alias("p"), F.col("h").alias("x")), frames.select(F.col("path").alias("q"), F.col("h").alias("y"))
-    return met.join(left, "x").join(right, "y").where("p <> q").select(F.least("p", "q").alias("path_a"), F.greatest("p", "q").alias("path_b")).distinct()
+    return met.join(left.hint("merge"), "x").join(right.hint("merge"), "y").where("p <> q").select(F.least("p", "q").alias("path_a"), F.greatest("p", "q").alias("path_b")).distinct()
 
 
 def content_comparator(rotated: bool = False) -> Column:

@@ -134,6 +134,13 @@ def test_content_pairs_lose_none(spark):
     assert got == true and len(true) >= 12
 
 
+def test_content_pairs_broadcast_nothing(spark):
+    # the 13 keys of each of a file's hashes look like a few bytes to Spark, whose estimate would have them gathered in the driver
+    h = spark.range(9).select(F.col("id").cast("string").alias("path"), F.array_repeat("id", 32).alias("content_hash")).checkpoint()
+    plan = scoring.content_pairs(h)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_large_buckets_meet_in_blocks(spark):
     df = spark.createDataFrame([(f"p{i:03}", None if i < 70 else float(i % 3)) for i in range(100)], "path string, bucket double")
     pairs = scoring.bucket_pairs(df, ("bucket",), block=8)
