@@ -99,6 +99,8 @@ def bucket_pairs(bucketed: DataFrame, keys: tuple[str, ...] = ("bucket", "sub"),
 NAMES = 8_192
 #: Buckets up to which their numbers of blocks are broadcast, so that no bucket gathers in one task to get its own.
 FEW = 10_000
+#: Blocks of a bucket that are enough to keep all tasks busy.
+MANY = 8
 
 
 def _seen(n: Column) -> dict[str, Column]:
@@ -110,10 +112,15 @@ def _told(named: DataFrame, *more: str) -> DataFrame:
     return named.select(*more, "name", *[c.alias(k) for k, c in _seen(F.col("name")).items()])
 
 
-def in_blocks(rows: DataFrame, of: str, seen: list[str], look: Callable, out: str, block: int = NAMES, others: DataFrame | None = None) -> DataFrame:
-    """What look(a, b, same) yields (frames of `out`) of the rows (of, _key, seen) of one _key, each two meeting once in blocks; with `others`, of each row with each of those."""
+def in_blocks(rows: DataFrame, of: str, seen: list[str], look: Callable, out: str, block: int = NAMES, others: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """What look(a, b, same) yields (frames of `out`) of the rows (of, _key, seen) of one _key, each two meeting once in blocks; with `others`, of each row with each of those.
+
+    A row is copied for each block that it meets: with `most`, where there are more than MANY blocks, they grow up to that size.
+    """
     parts = default_parallelism(rows.sparkSession)
-    counts = lambda df, n, over=0: df.groupBy("_key").count().where(F.col("count") > over).select("_key", F.ceil(F.col("count") / block).cast("int").alias(n))
+    of_size = lambda n: F.ceil(F.col("count") / n).cast("int")
+    blocks = F.least(of_size(block), F.greatest(F.lit(MANY), of_size(most))) if most else of_size(block)
+    counts = lambda df, n, over=0: df.groupBy("_key").count().where(F.col("count") > over).select("_key", blocks.alias(n))
     seen = ["_key", "_i", "_j", *seen]
     side = lambda df, s: df.select(*[F.col(c).alias(f"{c}{s}") for c in seen]).repartition(parts, f"_key{s}", f"_i{s}", f"_j{s}")
     placed = lambda n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
@@ -200,7 +207,7 @@ def weighed_pairs(bucketed: DataFrame, aspect: str, field: str, weights: dict[st
     def cross(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
         yield a[["path"]].merge(b[["path"]], how="cross", suffixes=("_a", "_b"))
 
-    measured = in_blocks(rows.where("fit"), "path", weighed.SEEN, look, weighed.OUT, block)
+    measured = in_blocks(rows.where("fit"), "path", weighed.SEEN, look, weighed.OUT, block, most=2 * block)
     rest = in_blocks(rows.where("not fit").select("_key", "path"), "path", ["path"], cross, "path_a string, path_b string", block, rows.select("_key", "path"))
     return measured, rest.where("path_a <> path_b").select(F.least("path_a", "path_b").alias("path_a"), F.greatest("path_a", "path_b").alias("path_b"))
 

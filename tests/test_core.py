@@ -426,6 +426,20 @@ def test_contents_are_measured_before_pairs_are_made(spark, monkeypatch, mode):
     assert got == want and len(got) > 20
 
 
+def test_blocks_of_large_buckets_grow(spark):
+    rows = spark.range(130).select(F.when(F.col("id") < 20, "few").otherwise("many").alias("_key"), F.col("id").cast("string").alias("path"))
+
+    def look(a, b, same):
+        both = a.merge(b, how="cross", suffixes=("", "_b"))
+        both = both[both["path"] < both["path_b"]] if same else both
+        yield pd.DataFrame({"x": both["path"], "y": both["path_b"], "at": both["_key"] + both["_i"].astype(str)})
+
+    got = scoring.in_blocks(rows, "path", ["path"], look, "x string, y string, at string", 4, most=8).collect()
+    met = {frozenset((r.x, r.y)) for r in got}
+    assert len(got) == len(met) == 20 * 19 // 2 + 110 * 109 // 2
+    assert {r["at"] for r in got} <= {f"few{i}" for i in range(5)} | {f"many{i}" for i in range(14)}
+
+
 @pytest.mark.parametrize("mode", ["image", "audio"])
 def test_measured_pairs_come_with_their_values(spark, mode):
     # in letters alike, in their order not: what letters allow reaches the threshold, the pair does not
